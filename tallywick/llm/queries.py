@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, host_quality, language_id, mixing, ngram_join, packing, token_records, url_filters
+from . import chat_format, host_quality, language_id, mixing, ngram_join, packing, pii, token_records, url_filters
 from .common import scratch_path, table
 
 
@@ -54,6 +54,14 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, pii.KINDS))
+    show = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [pii.count_kind("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(show("base"), 256).alias("base_sha256"), show("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and "_" in k and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
