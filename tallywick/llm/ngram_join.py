@@ -113,7 +113,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, grp, prefix) per row; a node is a set, a group those of equal prefix and size."""
+    """(doc_id, text_hash, n, node, grp, prefix) per row; a node is a set, a group those of equal prefix and size."""
     sent = docs.sparkSession.sparkContext.broadcast((hashes, counts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +134,11 @@ def prefixes(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> DataFra
                 place = (np.arange(len(prefix)) - np.repeat(cuts[:-1], p)).astype(np.uint64)
                 group = mix(_sums(mix(prefix + place * np.uint64(0x9E3779B97F4A7C15)), cuts) ^ n.astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array(set_names(values, at)), pa.array(group), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(prefix.view(np.int64)))],
-                    ["doc_id", "n", "node", "grp", "prefix"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("text_hash").slice(i, j - i), pa.array(n), pa.array(set_names(values, at)), pa.array(group), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(prefix.view(np.int64)))],
+                    ["doc_id", "text_hash", "n", "node", "grp", "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, node long, grp long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, "doc_id long, text_hash long, n long, node long, grp long, prefix array<long>")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -302,8 +302,8 @@ def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row."""
+def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) per row; component_id is null where the set is empty."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(prefixes(docs, *frequent_shingles(docs)), "prefixes")
@@ -326,7 +326,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     named = materialize(names.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "doc_id"), "components")
     least = materialize(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     named = materialize(named.join(least, "c").select("node", "component_id"), "named")
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row."""
+    return joined(docs, id_col).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, that of the smallest id (then text hash); rows without words all stay. Columns are those of `docs`.
 
+    Rows are dropped by an anti-join with those to go, which is broadcast if small; only ids that are
+    repeated with equal text pass through a de-duplication.
+    """
+    spark = docs.sparkSession
+    rows = materialize(joined(docs).where(F.col("component_id").isNotNull()).select("doc_id", "text_hash", "component_id"), "joined")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    first = materialize(first, "first")
+    gone = rows.join(first, ["doc_id", "text_hash"], "left_anti").distinct()
+    twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+
+    def pick(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+        keys = F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
+        return frame.join(keys, (frame["doc_id"] == keys["__id"]) & (frame["__hash"] == keys["__text"]), how)
+
+    gone, twice = materialize(gone, "gone"), materialize(twice, "twice")
+    kept = pick(keyed, gone, "left_anti")
+    if twice.limit(1).count():
+        kept = pick(kept, twice, "left_anti").unionByName(pick(kept, twice, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    forget(spark, rows)
+    return kept.drop("__hash")
