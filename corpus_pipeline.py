@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywick.llm import host_quality, mixing, packing
+from tallywick.llm import host_quality, mixing, ngram_join, packing, pii
 from tallywick.llm.common import materialize, table
 
 
@@ -12,6 +12,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_quality.keep_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
@@ -20,7 +28,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("n-gram jaccard join", near_duplicates), ("personal data", personal_data), ("mixing", mix), ("packing", pack)]
 
 #: Packing needs a tokenizer, which SQL has not; the tests compare with a brute-force version.
 ORACLE_SQL = None
