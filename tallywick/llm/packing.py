@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import slices, text_buffer, tidy
 from .tokens import BLOCK, encoder, vocabulary_path
 
 LONGEST = 1024
@@ -62,14 +62,14 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", vocabulary: str | No
                 )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(pack, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, bucket int")
+    out = rows.mapInArrow(tidy(pack), f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, bucket int")
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def batches_of(pieces: DataFrame, batch_tokens: int = 8192) -> DataFrame:
     """Which batch of its bucket each sequence belongs to, by hash, so that batches of a bucket hold about batch_tokens ids."""
     sizes = pieces.groupBy("bucket").agg(F.count("*").alias("n"))  # at most as many rows as there are powers of two
-    per = F.greatest(F.lit(1), F.shiftright(F.lit(batch_tokens), F.col("bucket")))
+    per = F.expr(f"greatest(1, {batch_tokens} >> bucket)")
     sizes = sizes.select("bucket", F.ceil(F.col("n") / per).alias("n_batches"))
     return pieces.join(F.broadcast(sizes), "bucket").withColumn("batch", F.pmod(F.xxhash64("sequence_id"), F.col("n_batches")))
 
