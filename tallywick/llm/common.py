@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +52,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Drop a table of materialize() that nothing reads any more."""
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f.startswith(shared_dir(spark)[:8]) and "-" in f:
-            _remove(spark, f)
+    """Drop a table of materialize() that nothing reads any more; folders that are not of its making stay."""
+    plain = lambda uri: re.sub(r"^\w+:/*", "/", uri).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if plain(folder).startswith(plain(shared_dir(spark)) + "/") and re.search(r"-[0-9a-f]{12}$", folder):
+            _remove(spark, folder)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,3 +87,19 @@ def slices(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
         out.append((i, j))
         i = j
     return out
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, giving freed memory back to the system at the end of each task: workers live on, and their sizes add up."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library
+                pass
+
+    return run

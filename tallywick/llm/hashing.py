@@ -28,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, np.uint64(base), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:  # a very long row makes its own
+        if size <= 1 << 21:  # a very long row makes its own
             _POWERS[base] = have
     return have[:n]
 

@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import slices, text_buffer, tidy
 from .hashing import segment_hashes
 from .tokens import vocabulary_path
 
 TRAIN_DOCS = 1500
 ROUNDS = 3
 LONGEST_PIECE, LONGEST_WORD = 10, 32
-MEMO, BLOCK = 2_000_000, 4 << 20
+MEMO, BLOCK = 1_000_000, 1 << 20
 FLOOR = 0.05  # expected count that every piece has besides what was seen
 
 _WORD = np.zeros(256, bool)
@@ -219,7 +219,7 @@ def sample_word_counts(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Dat
             words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[first])), pa.array(words, pa.binary()), pa.array(n)], ["lang", "word", "n"])
 
-    return picked.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return picked.select("lang", "text").mapInArrow(tidy(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(counts: pa.Table, vocabulary: str | None = None, rounds: int = ROUNDS) -> Model | None:
@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(names), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), f"doc_id {id_type}, lang_pred string, score double")
 
 
 def fit_and_identify(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: str | None = None) -> DataFrame:

@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, text_buffer
+from .common import forget, materialize, slices, text_buffer, tidy
 from .components import components
 from .hashing import mix
 from .shingles import WORDS, shingle_sets
 
 #: Similarity as a ratio of whole numbers: 75 of 100.
 PART, WHOLE = 75, 100
-BLOCK = 2 << 20
-CHUNK = 2_000_000  # shingles that are counted together
+BLOCK = 1 << 20
+CHUNK = 1_000_000  # shingles that are counted together
 MIN_FREQUENT, MAX_FREQUENT = 6, 500_000
 #: Leaders of a list, nodes of a part of it, and the nodes from which a list has leaders at all.
 LEADERS, RUN, LARGE = 24, 100, 6
@@ -95,7 +95,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_FREQUENT)
+    found = docs.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_FREQUENT)
     found = materialize(found, "frequent")
     # the least count that keeps the list within its bound, read off a histogram of powers of two
     sizes = {r["e"]: r["count"] for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).count().collect()}
@@ -138,7 +138,7 @@ def prefixes(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> DataFra
                     ["doc_id", "text_hash", "n", "node", "grp", "prefix"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(cut, "doc_id long, text_hash long, n long, node long, grp long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(cut), "doc_id long, text_hash long, n long, node long, grp long, prefix array<long>")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -147,12 +147,14 @@ def shared_lists(rows: DataFrame) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, first = np.unique(batch.column("grp").to_numpy(), return_index=True)
-            batch = batch.take(pa.array(np.sort(first)))
-            lists = batch.column("prefix")
-            p = np.diff(lists.offsets.to_numpy())
-            pos = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
-            packed = (np.repeat(batch.column("n").to_numpy(), p) << 24) | np.minimum(pos, (1 << 24) - 1)
-            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(batch.column("grp").to_numpy(), p)), pa.array(packed)], ["token", "grp", "at"])
+            first.sort()
+            for i in range(0, len(first), 512):
+                part = batch.take(pa.array(first[i : i + 512]))
+                lists = part.column("prefix")
+                p = np.diff(lists.offsets.to_numpy())
+                pos = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+                packed = (np.repeat(part.column("n").to_numpy(), p) << 24) | np.minimum(pos, (1 << 24) - 1)
+                yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(part.column("grp").to_numpy(), p)), pa.array(packed)], ["token", "grp", "at"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams sorted rows and holds one back, so a run of any length needs no memory."""
@@ -179,8 +181,8 @@ def shared_lists(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(grp[out]), pa.array(at[out])], ["token", "grp", "at"])
 
     kind = "token long, grp long, at long"
-    posted = rows.where("n > 0").select("grp", "n", "prefix").mapInArrow(post, kind)
-    found = posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(runs, kind)
+    posted = rows.where("n > 0").select("grp", "n", "prefix").mapInArrow(tidy(post), kind)
+    found = posted.repartition("token").sortWithinPartitions("token", "grp").mapInArrow(tidy(runs), kind)
     return found.select("token", "grp", F.shiftright("at", 24).alias("n"), F.col("at").bitwiseAND((1 << 24) - 1).alias("pos"))
 
 
@@ -202,7 +204,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 blobs = [values[at[k] : at[k + 1]].tobytes() for k in own]
                 yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(blobs, pa.binary())], ["node", "set"])
 
-    return _texts(docs, nodes).select("text", "node").mapInArrow(make, "node long, set binary")
+    return _texts(docs, nodes).select("text", "node").mapInArrow(tidy(make), "node long, set binary")
 
 
 def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int) -> DataFrame:
@@ -248,8 +250,8 @@ def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int)
                     leaders.append((node, own.copy()))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    made = _texts(docs, keyed).select("text", "node", "key", "central").mapInArrow(make, "key long, central double, node long, set binary")
-    return made.repartition("key").sortWithinPartitions("key", F.desc("central"), "node").mapInArrow(meet, "a long, b long")
+    made = _texts(docs, keyed).select("text", "node", "key", "central").mapInArrow(tidy(make), "key long, central double, node long, set binary")
+    return made.repartition("key").sortWithinPartitions("key", F.desc("central"), "node").mapInArrow(tidy(meet), "a long, b long")
 
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -297,7 +299,7 @@ def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    out = materialize(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    out = materialize(joined.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), "links")
     forget(docs.sparkSession, sets)
     return out
 

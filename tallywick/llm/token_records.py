@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import slices, text_buffer, tidy
 from .tokens import BLOCK, encoder
 
 END_ID = 2
@@ -108,7 +108,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary
             yield pa.RecordBatch.from_pylist([{"shard": 0, "path": name, "records": records, "tokens": tokens, "low": low, "high": high}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
     # the partitions' order is that of the ids; which attempt of a task counts is known when its row arrives
-    manifest = rows.mapInArrow(write, MANIFEST).withColumn("shard", F.spark_partition_id().cast("long"))
+    manifest = rows.mapInArrow(tidy(write), MANIFEST).withColumn("shard", F.spark_partition_id().cast("long"))
     found = sorted(manifest.collect(), key=lambda r: r["shard"])
     spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(found)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -144,7 +144,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                         i = j
 
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_one(path: str, shard: str, i: int) -> tuple[int, np.ndarray]:

@@ -20,7 +20,7 @@ from .hashing import SPACE, segment_hashes
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered in one Python worker (some 40 bytes each); bytes of text encoded at a time.
-MEMO, BLOCK = 3_000_000, 4 << 20
+MEMO, BLOCK = 1_000_000, 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
