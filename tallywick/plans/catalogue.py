@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from ..operators import quality as Q
 from ..operators import recommend as R
 from ..operators import similarity as S
 from ..operators import split as P
+from ..scratch import shared_dir
+from ..streaming.replay import replay, replayed_user_items
 from .oracles import with_ctes
 from .workspace import K, Workspace
 
@@ -189,6 +192,32 @@ query("dq_expectations", """SELECT dataset, expectation, "column", unexpected_co
     UNION ALL SELECT 'gold_item_features', 'unique', 'item_id', (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM catalog GROUP BY item_id HAVING count(*) > 1))
     UNION ALL SELECT 'gold_item_features', 'not_null', 'item_feature_vector', 0)""")(lambda w: Q.expectations(w.tables))
 query("dq_duplicates", 'SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM bronze_events GROUP BY event, itemid HAVING count(*) > 1)')(lambda w: Q.duplicates(w.bronze_events, ["event", "itemid"]))
+@query("replay_user_items", "SELECT * FROM gold")
+def _replay(w: Workspace) -> DataFrame:
+    """The events landed as files in time order, streamed batch by batch, and the aggregate of what arrived."""
+    base = f"{shared_dir(w.spark)}/replay-{uuid.uuid4().hex[:12]}"
+    w.bronze_events.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.csv(f"{base}/in", header=True)
+    replay(w.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return replayed_user_items(w.spark, f"{base}/out")
+
+
+@query("feature_store_latest", """SELECT 'user_activity' AS feature_view, 'user' AS entity, 'visitor_id' AS entity_key, 'v1' AS feature_version, (SELECT count(*) FROM activity) AS row_count
+    UNION ALL SELECT 'item_popularity', 'item', 'item_id', 'v1', (SELECT count(*) FROM popularity_features)
+    UNION ALL SELECT 'item_cooccurrence', 'item', 'source_item_id', 'v1', (SELECT count(*) FROM gold_neighbours)""")
+def _store(w: Workspace) -> DataFrame:
+    """Registers the three feature tables and lists the newest version of each view."""
+    from ..operators.store import FeatureStore, Warehouse
+
+    house = Warehouse(w.spark, f"{shared_dir(w.spark)}/store-{uuid.uuid4().hex[:12]}")
+    house.rebuild("feature_user_activity", L.user_activity(w.gold))
+    house.rebuild("feature_item_popularity", L.item_popularity(w.gold, w.catalog))
+    house.rebuild("feature_item_cooccurrence", S.train_similarity(w.gold, "last_interaction_timestamp"))
+    store = FeatureStore(house)
+    store.register("v1")
+    rows = [(r["feature_view"], r["entity"], r["entity_key"], r["feature_version"], r["row_count"]) for r in store.latest()]
+    return w.spark.createDataFrame(rows, "feature_view string, entity string, entity_key string, feature_version string, row_count long")
+
+
 query("dq_orphans", "SELECT count(*) AS violations FROM silver e WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.item_id = e.item_id)")(lambda w: w.silver.alias("e").join(w.products.alias("p"), F.col("e.item_id") == F.col("p.item_id"), "left_anti").agg(F.count("*").alias("violations")))
 query("dq_transaction_ids", "SELECT count(*) AS violations FROM silver WHERE (event_type = 'transaction') <> (transaction_id IS NOT NULL)")(lambda w: w.silver.agg(F.count_if((F.col("event_type") == "transaction") != F.col("transaction_id").isNotNull()).alias("violations")))
 

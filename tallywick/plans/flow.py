@@ -36,10 +36,10 @@ class Flow:
     def replay_events(self, path: str, speed: float = 0, limit: int | None = None) -> int:
         """Batch read, or with a speed the same rows paced through a stream over the file's folder."""
         if speed:
-            work = self.w.root / "_replay" / uuid.uuid4().hex[:8]
-            folder = work / "in"
-            files.read_events(self.spark, path, limit).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 5000).csv(str(folder), header=True)
-            replay(self.spark, str(folder), str(work / "out"), str(work / "checkpoint"), speed).awaitTermination()
+            work = f"{self.w.root}/_replay/{uuid.uuid4().hex[:8]}"
+            folder = f"{work}/in"
+            files.read_events(self.spark, path, limit).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 5000).csv(folder, header=True)
+            replay(self.spark, folder, f"{work}/out", f"{work}/checkpoint", speed).awaitTermination()
         return self.w.rebuild("bronze_events", files.read_events(self.spark, path, limit)).count()
 
     def ingest_categories(self, path: str) -> int:

@@ -115,6 +115,12 @@ CTES: dict[str, str] = {
         UNION ALL SELECT 'content_similarity', visitor_id, item_id, rank FROM content WHERE rank <= 10
         UNION ALL SELECT 'item_cf_content_hybrid', visitor_id, item_id, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY visitor_id ORDER BY score DESC, item_id) AS rank FROM fused) WHERE rank <= 10""",
+    "gold_capped": """SELECT visitor_id, item_id, interaction_score FROM (SELECT *, row_number() OVER (PARTITION BY visitor_id
+        ORDER BY interaction_score DESC, last_interaction_timestamp DESC, item_id) AS n FROM gold) WHERE n <= 30""",
+    "gold_pairs": """SELECT a.item_id AS i, b.item_id AS j FROM gold_capped a JOIN gold_capped b ON a.visitor_id = b.visitor_id AND a.item_id < b.item_id
+        GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "gold_degrees": "SELECT item, least(count(*), 50) AS n FROM (SELECT i AS item FROM gold_pairs UNION ALL SELECT j FROM gold_pairs) GROUP BY 1",
+    "gold_neighbours": "SELECT unnest(range(n)) AS k, item FROM gold_degrees",
     # serving: the same chain over the latest items of the whole timeline
     "s_history": """SELECT visitor_id, item_id, CAST(interaction_score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY visitor_id
         ORDER BY last_interaction_timestamp DESC, interaction_score DESC, item_id) AS n FROM gold) WHERE n <= 30""",

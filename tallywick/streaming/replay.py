@@ -27,7 +27,12 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
 
 
 def replay(spark: SparkSession, folder: str, table: str, checkpoint: str, speed: float = 0.0) -> StreamingQuery:
-    """Runs through all files in micro-batches; each is cleaned and appended under its batch number, so a repeated batch replaces itself."""
+    """Runs through all files of a folder in micro-batches."""
+    return replay_stream(event_stream(spark, folder), table, checkpoint, speed)
+
+
+def replay_stream(stream: DataFrame, table: str, checkpoint: str, speed: float = 0.0) -> StreamingQuery:
+    """Each batch of raw events is cleaned and written under its number, so a repeated batch replaces itself."""
     last: dict[str, int | None] = {"ms": None}
 
     def write(batch: DataFrame, number: int) -> None:
@@ -38,7 +43,7 @@ def replay(spark: SparkSession, folder: str, table: str, checkpoint: str, speed:
                 last["ms"] = high
         clean_events(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return event_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
