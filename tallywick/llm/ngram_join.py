@@ -5,10 +5,11 @@ among the first n - ceil(t n) + 1 of each. Documents of equal sets are one node;
 prefix and size are one group, and only groups are posted under their prefix shingles. Lists that
 several groups share are expanded to members. In each list members are compared with a few leaders
 first (hot lists are salted, each part with leaders of its own), which ties the bulk of large
-groups of near copies with a number of comparisons linear in their size. Pairs of members that are still in
-different components are then counted over the lists; those whose shared prefix shingles can
-suffice are verified one by one. So every link between components is found, and no group is
-expanded into all its pairs.
+groups of near copies with a number of comparisons linear in their size. What is still in different
+components is settled exactly: pairs that meet on short lists are counted, and those whose shared prefix
+shingles can suffice are verified one by one; on long lists, the members outside the largest component are
+held in blocks, past which the others stream. So every link between components is found, and no group
+is written out as all its pairs.
 
 The order need not be exact for the result to be: frequencies come from shingles that repeat
 within blocks of a partition, and of those the most frequent MAX_FREQUENT are broadcast.
@@ -40,6 +41,8 @@ CHUNK = 1_000_000  # shingles that are counted together
 MIN_FREQUENT, MAX_FREQUENT = 6, 500_000
 #: Leaders of a list, nodes of a part of it, and the nodes from which a list has leaders at all.
 LEADERS, RUN, LARGE = 24, 100, 6
+#: Nodes from which a list is long, nodes of a block of open members, and nodes that one task compares with a block.
+MANY, MEMBERS, PARTS = 200, 256, 512
 #: Rows of a table of nodes that may be broadcast (about 40 bytes each).
 MAX_BROADCAST = 200_000
 
@@ -210,7 +213,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int) -> DataFrame:
     """Links (a, b) that turn up when each node meets the leaders of one of its lists.
 
-    Small lists are left to open_pairs(). A node goes to the large list of the least hash, so that near copies choose alike; a list is dealt in
+    Small lists are left to what follows. A node goes to the large list of the least hash, so that near copies choose alike; a list is dealt in
     parts of about RUN nodes. The most central nodes (whose prefix is shared the most) come first. One
     that is similar to no leader so far becomes a leader, up to LEADERS.
     """
@@ -266,28 +269,101 @@ def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
+def sized_lists(lists: DataFrame) -> DataFrame:
+    """The open lists with their length k."""
+    sizes = materialize(lists.groupBy("token").agg(F.count("*").alias("k")), "sizes")
+    return materialize(lists.join(sizes, "token"), "sized")
+
+
 def open_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share enough prefix shingles to be similar.
+    """Pairs (a, b) of different components that meet on short lists only and share enough prefix shingles to be similar.
 
-    Of each list, members outside its largest component meet all others; what a pair shares beyond
-    its prefixes is at most what the larger of the two rests holds.
+    What a pair shares beyond its prefixes is at most what the larger of the two rests holds. Pairs that meet on a
+    long list too are counted short here, and settled by open_links().
     """
-    sizes = lists.groupBy("token", "c").agg(F.count("*").alias("k"))
-    major = materialize(sizes.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major")), "major")
-    named = materialize(lists.join(major, "token"), "lists")
-    x = named.where("c <> major").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"), "major")
-    y = named.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
+    short = lists.where(F.col("k") < MANY)
+    x = short.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "weight")
+    y = short.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    fits = F.expr(f"a < b and ca <> cb and {WHOLE} * least(na, nb) >= {PART} * greatest(na, nb)")
+    pairs = x.join(y, [x["token"] == y["token"], fits]).groupBy("a", "b").agg(F.sum("weight").alias("shared"), *[F.min(c).alias(c) for c in ("na", "nb")])
     need = f"({PART} * (na + nb) + {PART + WHOLE - 1}) div {PART + WHOLE}"
-    fits = F.expr(
-        f"ca <> cb and (cb = major or a < b) and {WHOLE} * least(na, nb) >= {PART} * greatest(na, nb)"
-        f" and 1 + least(na - pa - 1, nb - pb - 1) >= {need}"
-    )
-    pairs = x.join(y, [x["token"] == y["token"], fits]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("na").alias("na"), F.min("nb").alias("nb"))
     rest = lambda n: f"(({PART} * {n} + {WHOLE - 1}) div {WHOLE} - 1)"
     return pairs.where(F.expr(f"shared + greatest({rest('na')}, {rest('nb')}) >= {need}")).select("a", "b")
 
 
+def open_links(docs: DataFrame, lists: DataFrame, names: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components that meet on a long list.
+
+    Of each long list, members outside its largest component are dealt to blocks of about MEMBERS, by the list of
+    the least hash, so that like members share a block. A node is sent once to each block that it meets on any list, and compared with the whole block by one lookup of its set; no
+    pairs are written, only links, and of those one for each member and component. Nodes sent to a block are dealt in
+    parts of about PARTS, each with a copy of the block.
+    """
+    spark = docs.sparkSession
+    large = materialize(lists.where(F.col("k") >= MANY).select("token", "node", "c"), "large")
+    sizes = large.groupBy("token", "c").agg(F.count("*").alias("k"))
+    major = materialize(sizes.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major")), "major")
+    minor = materialize(large.join(major, "token").where("c <> major").select("token", "node", "c"), "minor")
+    members = materialize(minor.select("node", "c").distinct(), "members")
+    if not members.limit(1).count():
+        return spark.createDataFrame([], "a long, b long")
+    home = minor.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(4), "token"), "token"))["token"].alias("home"))
+    home = materialize(home, "home")
+    crowd = materialize(home.groupBy("home").agg(F.ceil(F.count("*") / MEMBERS).alias("cuts")), "crowd")
+    block = F.xxhash64("home", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("cuts"))).alias("block")
+    home = materialize(home.join(crowd, "home").select("node", block), "home")
+    members = materialize(members.join(home, "node"), "members")
+    asked = materialize(minor.join(home, "node").select("token", "block").distinct(), "asked")
+    sent = materialize(large.join(asked, "token").select("block", "node", "c").distinct(), "sent")
+    parts = materialize(sent.groupBy("block").agg(F.ceil(F.count("*") / PARTS).alias("parts")), "parts")
+    others = sent.join(parts, "block").select("node", "c", F.lit(1).alias("role"), F.array(F.xxhash64("block", F.pmod(F.xxhash64(F.lit(6), "node"), F.col("parts")))).alias("keys"))
+    held = members.join(parts, "block").select("node", "c", F.lit(0).alias("role"), F.expr("transform(sequence(0, parts - 1), p -> xxhash64(block, p))").alias("keys"))
+    # a node's text is read once, with all the places its set goes to
+    each = others.unionByName(held).select("node", "c", F.explode("keys").alias("key"), "role").groupBy("node").agg(F.min("c").alias("c"), F.collect_set(F.struct("key", "role")).alias("places"))
+    keyed = materialize(each.join(names, "node").select("doc_id", "node", "c", "places"), "keyed")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, values, at in _sets(batch):
+                found = set_names(values, at)
+                own = np.flatnonzero(found == batch.column("node").to_numpy()[i:j])
+                blobs = [values[at[k] : at[k + 1]].tobytes() for k in own]
+                pick = pa.array(own + i)
+                yield pa.RecordBatch.from_arrays([batch.column("places").take(pick), batch.column("c").take(pick), pa.array(found[own]), pa.array(blobs, pa.binary())], ["places", "c", "node", "set"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ready, held, told = None, False, [], set()
+        for batch in batches:
+            a, b = [], []
+            for k, role, node, c, blob in zip(*[batch.column(x).to_pylist() for x in ("key", "role", "node", "c")], batch.column("set"), strict=True):
+                if k != key:
+                    key, ready, held, told = k, False, [], set()
+                own = np.frombuffer(blob.as_buffer(), np.uint64)
+                if role == 0:
+                    held.append((node, c, own.copy()))
+                    continue
+                if not ready:
+                    sizes = np.array([len(x[2]) for x in held])
+                    flat, owner = np.concatenate([x[2] for x in held]), np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner, ready = flat[order], owner[order], True
+                low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = high - low
+                hits = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[hits], minlength=len(held))
+                for m in np.flatnonzero(WHOLE * both >= PART * (len(own) + sizes - both)):
+                    if held[m][1] != c and (m, c) not in told:
+                        told.add((m, c))
+                        a.append(node)
+                        b.append(held[m][0])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    place = "array<struct<key:bigint,role:int>>"
+    made = _texts(docs, keyed).select("text", "node", "c", F.col("places").cast(place).alias("places")).mapInArrow(tidy(make), f"places {place}, c long, node long, set binary")
+    dealt = made.select(F.explode("places").alias("p"), "node", "c", "set").select("p.key", "p.role", "node", "c", "set")
+    return dealt.repartition("key").sortWithinPartitions("key", "role", "node").mapInArrow(tidy(meet), "a long, b long")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The pairs that are similar, by their whole sets."""
     nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node").select("doc_id", "node"), "nodes")
@@ -312,8 +388,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n")), "names")
     shared = materialize(shared_lists(rows), "shared")
     several = names.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    lists = shared.join(names.select("node", "grp"), "grp").select("token", "node", "n", "pos")
-    lists = lists.unionByName(names.join(several, "grp", "left_semi").select(F.xxhash64("grp").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos")))
+    lists = shared.join(names.select("node", "grp"), "grp").select("token", "node", "n", "pos", F.lit(1).cast("long").alias("weight"))
+    # members of one group share all of its prefix, which may be on no list of several groups
+    whole = F.expr(f"n - ({PART} * n + {WHOLE - 1}) div {WHOLE} + 1").alias("weight")
+    lists = lists.unionByName(names.join(several, "grp", "left_semi").select(F.xxhash64("grp").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), whole))
     lists = materialize(lists, "lists")
     forget(spark, shared)
     keys = names.select("node", "doc_id")
@@ -321,8 +399,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     left = open_lists(lists, links)
     links = materialize(links.unionByName(leader_links(docs, left, keys, 2)), "links")
     left = open_lists(left.drop("c"), links)
-    pairs = materialize(open_pairs(left), "pairs")
-    links = links.unionByName(verified(docs, pairs, keys))
+    left = sized_lists(left)
+    links = links.unionByName(open_links(docs, left, keys))
+    links = materialize(links.unionByName(verified(docs, materialize(open_pairs(left), "pairs"), keys)), "links")
     labels = components(links)
     # a component is named by its smallest id; a node without links is one of its own
     named = materialize(names.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "doc_id"), "components")

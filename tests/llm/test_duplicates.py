@@ -60,6 +60,8 @@ def test_shingles_match_plain():
 @pytest.mark.parametrize("seed", [2, 3])
 def test_join_equals_brute_force(docs, smallest, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", 2 + seed)
+    monkeypatch.setattr(ngram_join, "MANY", 9 if seed == 2 else 200)
+    monkeypatch.setattr(ngram_join, "LEADERS", 2)
     rows = corpus(seed)
     sets = plain_sets(rows)
     expect = smallest(range(len(rows)), links(sets))
