@@ -10,7 +10,7 @@ their names (the working column has a reserved name).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +66,10 @@ def text_features(text: str | None) -> tuple[int, int, int, int, int]:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in FEATURES]))
-def _features(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_features(x) for x in text], columns=list(FEATURES))
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in FEATURES]))
+def _features(text: pa.Array) -> pa.Array:
+    found = np.array([text_features(x.as_py()) for x in text], np.int64).reshape(len(text), len(FEATURES))
+    return pa.StructArray.from_arrays([pa.array(c) for c in found.T], list(FEATURES))
 
 
 def base_failed(q: str = WORK) -> Column:
