@@ -89,6 +89,13 @@ def slices(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session: texts are long, and a batch is held on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f, giving freed memory back to the system at the end of each task: workers live on, and their sizes add up."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, slices, text_buffer, tidy
+from .common import forget, materialize, modest_batches, slices, text_buffer, tidy
 from .components import components
 from .hashing import mix
 from .shingles import WORDS, shingle_sets
@@ -383,6 +383,7 @@ def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) per row; component_id is null where the set is empty."""
     spark = docs.sparkSession
+    modest_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(prefixes(docs, *frequent_shingles(docs)), "prefixes")
     names = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n")), "names")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, tidy
+from .common import modest_batches, slices, text_buffer, tidy
 from .tokens import BLOCK, encoder, vocabulary_path
 
 LONGEST = 1024
@@ -43,6 +43,7 @@ def decompose(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray,
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None, longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset) per piece; ids are little-endian unsigned 32-bit."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
