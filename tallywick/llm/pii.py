@@ -1,11 +1,12 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Base spans follow fixed patterns and stay whatever the model says. High-recall generators propose
-further, overlapping spans: any run of digits with separators as a phone, a card and an address at once,
-and mail addresses whose signs are written out. A candidate is described by a few format and context
+further, overlapping spans apart from those: each run of digits with separators, and each part of it cut at separators, as a
+phone, a card and an address at once, and mail addresses whose signs are written out. Of overlapping ones that are
+accepted, that of the greatest rank is taken. A candidate is described by a few format and context
 features with small ranges, so all candidates of all rows fall into a bounded number of cells (at
 most CELLS), which are counted over all data by one aggregate. Boosted trees are fitted on the cells;
-the label of a candidate is whether its text holds a valid base match of its kind. A threshold for each
+the label of a candidate is whether it is, as a whole, a valid base match of its kind. A threshold for each
 kind is calibrated to a precision, and cells above it are accepted: such spans look as the valid ones do.
 
 Positions come from the lengths between matches, so a text is scanned a fixed number of times and
@@ -45,7 +46,12 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 NUMBER = r"(?<![0-9])[(+]?[0-9](?:[\x20().-]{0,2}[0-9])++"
 MAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++\x20?[\[({{](?i:at)[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({{](?i:dot)[\])}}]\x20?[A-Za-z0-9-]++)++"
 CONTEXT = (r"(?i)(?:tel|phone|call|fax|mobile)[^A-Za-z]*$", r"(?i)(?:card|visa|credit|account)[^A-Za-z]*$", r"(?i)(?:ip|host|addr|server)[^A-Za-z]*$", r"(?i)(?:version|token|order|id|no|license|isbn)[^A-Za-z]*$")
-LEAST_DIGITS = 7
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+#: Digit groups of a candidate, and groups before it that are read as context.
+MOST_GROUPS, NEAR = 6, 6
+TOUCH_LEFT, TOUCH_RIGHT = r"[A-Za-z0-9_\"#=/]$", r"^[A-Za-z_\"%/@]"
+MASK = "\x01"
+RANKS = ("phone", "ip", "card", "email")
 
 PRECISION = 0.98
 ROUNDS, RATE, RIDGE = 30, 0.3, 1.0
@@ -62,7 +68,7 @@ def matches(text: Column, pattern: str) -> Column:
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.transform(
-        F.arrays_zip(found.alias("v"), gaps.alias("g"), F.slice(gaps, 2, 2**31 - 1).alias("h")),
+        F.arrays_zip(found.alias("v"), gaps.alias("g"), F.slice(gaps, F.lit(2), F.size(found) + 1).alias("h")),
         lambda x: F.struct(x["v"].alias("v"), F.length(x["g"]).alias("g"), F.right(x["g"], F.lit(24)).alias("before"), F.left(x["h"], F.lit(4)).alias("after")),
     )
     rows = F.filter(rows, lambda x: x["v"].isNotNull())
@@ -147,25 +153,92 @@ def features(kind: str, m: Column) -> Column:
     return F.concat_ws(",", *[p.cast("string") for p in parts])
 
 
+def _masked(text: Column) -> Column:
+    """The text with `__base` spans overwritten by MASK, so that places stay and no candidate overlaps a base span."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    spans = F.array_sort(F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def mask(chunk: Column, i: Column) -> Column:
+        low, high = i * CHUNK, i * CHUNK + F.length(chunk)
+        own = F.filter(spans, lambda s: (s["start"] < high) & (s["end"] > low))
+
+        def step(acc: Column, s: Column) -> Column:
+            first, last = F.greatest(s["start"], acc["at"]), F.least(s["end"], high)
+            piece = F.concat(acc["out"], F.substr(chunk, acc["at"] - low + 1, first - acc["at"]), F.repeat(F.lit(MASK), last - first))
+            return F.when(last > first, F.struct(last.alias("at"), piece.alias("out"))).otherwise(acc)
+
+        end = F.aggregate(own, F.struct(low.alias("at"), F.lit("").alias("out")), step)
+        return F.when(F.size(own) == 0, chunk).otherwise(F.concat(end["out"], F.substr(chunk, end["at"] - low + 1)))
+
+    return F.when(F.size("__base") > 0, F.array_join(F.transform(chunks, mask), "")).otherwise(text)
+
+
+def _sub_spans(runs: str) -> Column:
+    """All runs of 1 to MOST_GROUPS digit groups of each number, and the number itself, of 7 to 19 digits.
+
+    A group carries the separators before it; a span starts at its first digit or at a sign or bracket just before. `left` and `right`
+    are what it touches: 0 nothing, 1 a letter or the like, 2 another group beyond a space, 3 another group at a sign.
+    """
+    groups = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), m["before"].alias("before"), m["after"].alias("after"), matches(m["value"], r"[^0-9]*+[0-9]++").alias("g")))
+
+    def span(r: Column, i: Column, k: Column) -> Column:
+        g, n = r["g"], F.size(r["g"])
+        first = F.regexp_extract(F.get(g, i)["value"], "[(+]?[0-9]+$", 0)
+        value = F.concat(first, F.array_join(F.transform(F.slice(g, i + 2, k - 1), lambda t: t["value"]), ""))
+        low = F.greatest(i - NEAR, F.lit(0))
+        earlier = F.array_join(F.transform(F.slice(g, low + 1, i - low), lambda t: t["value"]), "")
+        before = F.right(F.concat(F.when(low == 0, r["before"]).otherwise(""), earlier, F.regexp_replace(F.get(g, i)["value"], "[(+]?[0-9]+$", "")), F.lit(24))
+        later = F.get(g, i + k)["value"]
+        joined = lambda v: F.when(F.contains(v, F.lit(" ")), 2).otherwise(3)
+        return F.struct(
+            (r["start"] + F.get(g, i)["end"] - F.length(first)).alias("start"), (r["start"] + F.get(g, i + k - 1)["end"]).alias("end"), value.alias("value"),
+            before.alias("before"), F.coalesce(F.left(later, F.lit(4)), r["after"]).alias("after"),
+            F.when(i > 0, joined(F.get(g, i)["value"])).otherwise(r["before"].rlike(TOUCH_LEFT).cast("int")).alias("left"),
+            F.when(i + k < n, joined(later)).otherwise(r["after"].rlike(TOUCH_RIGHT).cast("int")).alias("right"),
+        )
+
+    def spans(r: Column) -> Column:
+        n = F.size(r["g"])
+        cut = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_GROUPS), n - i)), lambda k: span(r, i, k))))
+        # a number of more groups than MOST_DIGITS has too many digits
+        return F.when(n.between(MOST_GROUPS + 1, MOST_DIGITS), F.concat(cut, F.array(span(r, F.lit(0), n)))).otherwise(cut)
+
+    return F.filter(F.flatten(F.transform(groups, spans)), lambda m: F.length(digits(m["value"])).between(LEAST_DIGITS, MOST_DIGITS))
+
+
+def _rank(kind: str, m: Column) -> Column:
+    """Of overlapping candidates the one of the greatest rank is taken: by kind, then the one of more digits."""
+    return F.lit(100 * RANKS.index(kind)) + F.length(digits(m["value"]))
+
+
 def _label(kind: str, m: Column) -> Column:
-    """Whether the candidate's text holds a valid base match of its kind."""
-    found = F.regexp_extract_all(m["value"], F.lit(PATTERNS[kind]), F.lit(0))
-    return F.exists(found, lambda v: valid(kind, v))
+    """Whether the candidate is, as a whole, a valid base match of its kind."""
+    return m["value"].rlike(rf"^(?:{PATTERNS[kind]})$") & valid(kind, m["value"])
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """The rows with `__candidates`, array<struct<kind,start,end,cell,label>>."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = "array<struct<kind:int,start:int,end:int,cell:string,label:boolean>>"
-    docs = docs.withColumn("__numbers", F.when(text.rlike(r"[0-9][\x20().-]{0,2}[0-9]"), F.filter(matches(text, NUMBER), lambda m: F.length(digits(m["value"])) >= LEAST_DIGITS)).otherwise(F.array()))
+    """The rows with `__base`, and `__candidates`: array<struct<kind,start,end,cell,label,open,rank>>; open ones are not base spans."""
+    none = "array<struct<kind:int,start:int,end:int,cell:string,label:boolean,open:boolean,rank:int>>"
+    docs = docs.withColumn("__base", F.concat(*[_of_kind(i, f"__{k}") for i, k in enumerate(KINDS)]))
+    docs = docs.withColumn("__masked", _masked(F.coalesce(F.col("text"), F.lit(""))))
+    text = F.col("__masked")
+    docs = docs.withColumn("__runs", F.when(text.rlike(r"[0-9][\x20().-]{0,2}[0-9]"), F.filter(matches(text, NUMBER), lambda m: F.length(digits(m["value"])) >= LEAST_DIGITS)).otherwise(F.array()))
+    docs = docs.withColumn("__numbers", F.when(F.size("__runs") > 0, _sub_spans("__runs")).otherwise(F.array()))
     docs = docs.withColumn("__mails", F.when(text.rlike(r"[\[({](?i:at)[\])}]"), matches(text, MAIL)).otherwise(F.array()))
 
     def propose(source: str, kind: str) -> Column:
-        own = F.transform(source, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features(kind, m).alias("cell"), (F.lit(source == "__email") | _label(kind, m)).alias("label")))
+        base = source == f"__{kind}"
+        own = F.transform(
+            source,
+            lambda m: F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features(kind, m).alias("cell"),
+                (F.lit(True) if base else _label(kind, m)).alias("label"), F.lit(not base).alias("open"), _rank(kind, m).alias("rank"),
+            ),
+        )
         return F.when(F.size(source) > 0, own).otherwise(F.array()).cast(none)
 
-    proposed = F.concat(*[propose("__numbers", k) for k in ("ip", "card", "phone")], propose("__email", "email"), propose("__mails", "email"))
-    return docs.withColumn("__candidates", proposed).drop("__numbers", "__mails")
+    proposed = F.concat(*[propose(f"__{k}", k) for k in KINDS], *[propose("__numbers", k) for k in ("ip", "card", "phone")], propose("__mails", "email"))
+    return docs.withColumn("__candidates", proposed).drop("__runs", "__numbers", "__mails", "__masked")
 
 
 def boost(cells: list[tuple[tuple[int, ...], float, float]]) -> list[float]:
@@ -229,30 +302,45 @@ def accepted_cells(found: DataFrame, precision: float = PRECISION) -> list[str]:
     return sorted(out)
 
 
+def _apart(spans: Column) -> Column:
+    """Of overlapping spans those of the greatest rank; blocks of BLOCK are settled each, then one pass drops what overlaps at their borders."""
+    kind = "struct<start:int,end:int,kind:int,rank:int>"
+    none = F.array().cast(f"array<{kind}>")
+    ordered = F.array_sort(F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["rank"].alias("rank"))))
+
+    def settle(block: Column) -> Column:
+        best = F.array_sort(F.transform(block, lambda c: F.struct((-c["rank"]).alias("rank"), c["start"].alias("start"), c.alias("c"))))
+        free = lambda acc, c: ~F.exists(acc, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
+        return F.array_sort(F.aggregate(best, none, lambda acc, x: F.when(free(acc, x["c"]), F.concat(acc, F.array(x["c"]))).otherwise(acc)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int")), lambda b: settle(F.slice(ordered, b * BLOCK + 1, BLOCK)))
+    step = lambda acc, c: F.when(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1)["end"], F.lit(0)) <= c["start"], F.concat(acc, F.array(c))).otherwise(acc)
+    return F.when(F.size(spans) > 0, F.aggregate(F.flatten(blocks), none, step)).otherwise(none)
+
+
 def with_spans(found: DataFrame, accepted: list[str]) -> DataFrame:
-    """The rows with `__base` and `__spans`, array<struct<kind,start,end>> ordered by kind, then start."""
-    base = F.concat(*[_of_kind(i, f"__{k}") for i, k in enumerate(KINDS)])
-    found = found.withColumn("__base", base)
-    good = F.filter("__candidates", lambda c: ~c["label"] & F.array_contains(F.array(*map(F.lit, accepted)).cast("array<string>"), c["cell"]))
-    good = F.filter(good, lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    added = F.transform(good, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.withColumn("__spans", F.array_sort(F.concat("__base", added)))
+    """The rows with `__spans`, array<struct<kind,start,end>> ordered by kind, then start: base spans and accepted open candidates."""
+    good = F.filter("__candidates", lambda c: c["open"] & F.array_contains(F.array(*map(F.lit, accepted)).cast("array<string>"), c["cell"]))
+    found = found.withColumn("__good", good).withColumn("__good", _apart(F.col("__good")))
+    added = F.transform("__good", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return found.withColumn("__spans", F.array_sort(F.concat("__base", added))).drop("__good")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", precision: float = PRECISION) -> DataFrame:
     """(doc_id, base, spans) per row; the text is read once, and only spans and cells are kept for the second pass."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = lambda k: F.transform(f"__{k}", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(f"__{k}")
-    found = materialize(with_candidates(with_base(rows)).select("doc_id", *map(slim, KINDS), "__candidates"), "candidates")
+    found = materialize(with_candidates(with_base(rows)).select("doc_id", "__base", "__candidates"), "candidates")
     return with_spans(found, accepted_cells(found, precision)).select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """The rows of `docs` with every span of their texts replaced by its kind in brackets; n_chars follows where it is a column."""
+    """The rows of `docs` with every span of their texts replaced by its kind in brackets; n_chars follows where it is a column.
+
+    The rows are written once with their candidates, which the count of cells and the replacing both read.
+    """
     names = docs.columns
-    found = with_candidates(with_base(docs.select("text")))
-    accepted = accepted_cells(found, precision)
-    out = with_spans(with_candidates(with_base(docs)), accepted)
+    found = materialize(with_candidates(with_base(docs)).drop(*[f"__{k}" for k in KINDS]), "candidates")
+    out = with_spans(found, accepted_cells(found, precision))
     spans = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     out = out.withColumn("__spans", spans).withColumn("__chunks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])

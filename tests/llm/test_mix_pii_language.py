@@ -113,6 +113,20 @@ def test_trees_accept_what_looks_valid_and_nothing_else(docs):
     assert scores[0] > 1 > -1 > scores[1]
 
 
+def test_numbers_side_by_side_are_candidates_of_their_own(docs):
+    card = "4845168114407329"
+    rows = [f"seen {card} there"] * 60 + ["call +1 (234) 555-1234 now"] * 60 + ["order 1234567890123456 sent"] * 60
+    rows += ["7536784127813050 4845168114407329", f"2353820953013749 {card} x", f"é {card} 1.2", f"a@b.co {card} 4111 1111 1111 1111 1.2.3.4"]
+    out = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_spans(docs(rows)).collect()}
+    assert out[180] == [("card", 0, 16), ("card", 17, 33)]
+    assert out[181] == [("card", 17, 33)]
+    assert out[182] == [("card", 2, 18)]
+    assert out[183] == [("email", 0, 6), ("ip", 44, 51), ("card", 7, 23), ("card", 24, 43)]
+    assert all(not out[i] for i in range(120, 180))
+    texts = [r["text"] for r in pii.redact(docs(rows)).where("doc_id >= 180").orderBy("doc_id").collect()]
+    assert texts == ["[CARD] [CARD]", "2353820953013749 [CARD] x", "é [CARD] 1.2", "[EMAIL] [CARD] [CARD] [IP]"]
+
+
 def test_redaction(docs):
     long = "x" * (pii.CHUNK - 5) + " a@b.example.com and +1 (234) 555-1234\n" + "y" * 9000 + " 1.2.3.4"
     frame = docs([long, "keep é", None, "4111111111111111", "a@b.co"])
