@@ -6,8 +6,9 @@ phone, a card and an address at once, and mail addresses whose signs are written
 accepted, that of the greatest rank is taken. A candidate is described by a few format and context
 features with small ranges, so all candidates of all rows fall into a bounded number of cells (at
 most CELLS), which are counted over all data by one aggregate. Boosted trees are fitted on the cells;
-the label of a candidate is whether it is, as a whole, a valid base match of its kind. A threshold for each
-kind is calibrated to a precision, and cells above it are accepted: such spans look as the valid ones do.
+base spans and candidates with evidence apart from the base patterns
+(see `evident`) are the positives. A threshold for each
+kind is calibrated to a precision on the candidates that are no base spans, and cells above it are accepted.
 
 Positions come from the lengths between matches, so a text is scanned a fixed number of times and
 never by matches times length. The patterns match what the plain ones do, but start only where a run starts,
@@ -20,8 +21,7 @@ carries further columns unchanged, whatever their names (working columns have re
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,19 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 # The method's generators and context words.
 NUMBER = r"(?<![0-9])[(+]?[0-9](?:[\x20().-]{0,2}[0-9])++"
 MAIL = rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++\x20?[\[({{](?i:at)[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({{](?i:dot)[\])}}]\x20?[A-Za-z0-9-]++)++"
-CONTEXT = (r"(?i)(?:tel|phone|call|fax|mobile)[^A-Za-z]*$", r"(?i)(?:card|visa|credit|account)[^A-Za-z]*$", r"(?i)(?:ip|host|addr|server)[^A-Za-z]*$", r"(?i)(?:version|token|order|id|no|license|isbn)[^A-Za-z]*$")
+#: Words just before a number (no letter or digit between, from the start of a word): of phones, cards, addresses, other numbers.
+NEXT_TO = tuple(
+    rf"(?i)(?<![a-z])(?:{words})(?:\x20(?:no|nr|number|me|us|is|at|on))*[^a-z0-9\x01]*$"
+    for words in ("tel|telephone|phone|cellphone|cell|call|fax|mobile", "card|visa|mastercard|amex|credit|account", "ip|host|addr|address|server", "version|token|order|id|no|nr|number|license|isbn")
+)
+#: Layouts of a number: one group, national phone, groups as cards have them, dotted quad; 0 is any other. From FIRST_KNOWN on they tell a kind.
+_NATIONAL = r"^(?:1[\x20.-])?(?:\([2-9][0-9]{2}\)\x20?|[2-9][0-9]{2}[.-])[0-9]{3}[\x20.-][0-9]{4}$"
+_GROUPED = r"^(?:[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$"
+ONE_GROUP, NATIONAL, GROUPED, QUAD = 1, 2, 3, 4
+LAYOUTS = (r"^[(+]?[0-9]+$", _NATIONAL, _GROUPED, VALID_IP)
+FIRST_KNOWN = NATIONAL
+#: Starts of cards of 13 to 15 digits.
+ISSUED = r"^(?:4[0-9]{12}|3[068][0-9]{12}|3[47][0-9]{13})$"
 LEAST_DIGITS, MOST_DIGITS = 7, 19
 #: Digit groups of a candidate, and groups before it that are read as context.
 MOST_GROUPS, NEAR = 6, 6
@@ -54,7 +66,7 @@ MASK = "\x01"
 RANKS = ("phone", "ip", "card", "email")
 
 PRECISION = 0.98
-ROUNDS, RATE, RIDGE = 30, 0.3, 1.0
+ROUNDS, RATE, RIDGE, DEPTH = 30, 0.3, 1.0, 5
 CELLS = 20_000
 BLOCK = 256
 CHUNK = 4096
@@ -138,19 +150,32 @@ def bucket(value: Column, bounds: tuple[int, ...]) -> Column:
     return out
 
 
-def features(kind: str, m: Column) -> Column:
-    """The cell of a candidate: small whole numbers joined by commas, led by its kind."""
-    value, number = m["value"], digits(m["value"])
+def described(kind: str, m: Column) -> Column:
+    """A candidate of sub-spans or base spans with the small whole numbers that describe it; `left` and `right` are what it touches."""
+    number = digits(m["value"])
     context = F.lit(0)
-    for i, words in reversed(list(enumerate(CONTEXT, 1))):
+    for i, words in reversed(list(enumerate(NEXT_TO, 1))):
         context = F.when(m["before"].rlike(words), F.lit(i)).otherwise(context)
-    parts = (
-        F.lit(KINDS.index(kind)), bucket(F.length(number), (8, 10, 12, 16, 17, 20)), value.startswith("+").cast("int"), F.contains(value, F.lit("(")).cast("int"),
-        bucket(F.length(F.regexp_replace(value, "[0-9(+)]", "")), (1, 3, 4)), value.rlike(VALID_IP).cast("int"),
-        F.when(F.length(number).between(13, 19), luhn(number)).otherwise(False).cast("int"),
-        m["before"].rlike(r"[A-Za-z0-9_\"#=/]$").cast("int"), m["after"].rlike(r"^[A-Za-z_\"%/@]").cast("int"), context,
+    layout = F.lit(0)
+    for i, form in reversed(list(enumerate(LAYOUTS, 1))):
+        layout = F.when(m["value"].rlike(form), F.lit(i)).otherwise(layout)
+    n = F.length(number)
+    card = F.when(~n.between(13, 19), 0).when(~luhn(number), 0).when((n >= 16) | number.rlike(ISSUED), 2).otherwise(1)
+    return F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), n.alias("n"), bucket(n, (8, 10, 13, 16)).alias("size"),
+        F.when(m["value"].startswith("+"), 1).when(m["value"].startswith("("), 2).otherwise(0).alias("lead"), layout.alias("layout"), card.alias("card"),
+        m["left"].alias("left"), m["right"].alias("right"), context.alias("context"),
     )
-    return F.concat_ws(",", *[p.cast("string") for p in parts])
+
+
+def touching(m: Column) -> Column:
+    """A match with what it touches on either side."""
+    return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"), m["before"].rlike(TOUCH_LEFT).cast("int").alias("left"), m["after"].rlike(TOUCH_RIGHT).cast("int").alias("right"))
+
+
+def cell(kind: str, d: Column) -> Column:
+    """The cell of a described candidate: its small numbers joined by commas, led by its kind."""
+    return F.concat_ws(",", F.lit(KINDS.index(kind)).cast("string"), *[d[p].cast("string") for p in ("size", "lead", "layout", "card", "left", "right", "context")])
 
 
 def _masked(text: Column) -> Column:
@@ -206,14 +231,27 @@ def _sub_spans(runs: str) -> Column:
     return F.filter(F.flatten(F.transform(groups, spans)), lambda m: F.length(digits(m["value"])).between(LEAST_DIGITS, MOST_DIGITS))
 
 
-def _rank(kind: str, m: Column) -> Column:
-    """Of overlapping candidates the one of the greatest rank is taken: by kind, then the one of more digits."""
-    return F.lit(100 * RANKS.index(kind)) + F.length(digits(m["value"]))
+def _rank(kind: str, d: Column) -> Column:
+    """Of overlapping candidates the one of the greatest rank is taken: by kind, then a known layout or a plus, then the one of more digits."""
+    return F.lit(1000 * RANKS.index(kind)) + F.when((d["layout"] >= FIRST_KNOWN) | (d["lead"] == 1), 100).otherwise(0) + F.length(digits(d["value"]))
 
 
-def _label(kind: str, m: Column) -> Column:
-    """Whether the candidate is, as a whole, a valid base match of its kind."""
-    return m["value"].rlike(rf"^(?:{PATTERNS[kind]})$") & valid(kind, m["value"])
+def evident(kind: str, d: Column) -> Column:
+    """Whether a candidate of numbers is of its kind by evidence that stands apart from the base patterns.
+
+    A phone: a word for it just before, a plus (next to another number the base drops those), or a national layout. A card: Luhn, standing as one group or in groups as cards are printed; one of 13 to
+    15 digits also starts as an issuer of that length does, or has a word for it just before. An address: a dotted quad after a word for it.
+    Words for other numbers speak against phones and short cards, letters on either side against all.
+    """
+    free = (d["left"] != 1) & (d["right"] != 1)
+    if kind == "phone":
+        fits = (d["size"] < 4) & (d["layout"] != QUAD) & ~((d["card"] == 2) & (d["context"] != 1)) & (d["left"] != 3) & (d["right"] != 3)
+        return free & fits & ((d["context"] == 1) | ((d["lead"] == 1) & (d["size"] > 0)) | ((d["layout"] == NATIONAL) & (d["context"] == 0)))
+    if kind == "card":
+        whole = (d["lead"] == 0) & d["layout"].isin(ONE_GROUP, GROUPED)
+        short = ((d["card"] == 2) & ~d["context"].isin(1, 4)) | ((d["card"] == 1) & (d["context"] == 2))
+        return free & whole & F.when(d["size"] == 4, d["card"] == 2).otherwise(short)
+    return free & (d["layout"] == QUAD) & (d["context"] == 3) & (d["left"] != 3) & (d["right"] != 3)
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
@@ -228,67 +266,78 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
     def propose(source: str, kind: str) -> Column:
         base = source == f"__{kind}"
+        told = F.transform(F.transform(source, touching) if base else F.col(source), lambda m: described(kind, m))
+        own = F.transform(
+            told,
+            lambda d: F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), d["start"].alias("start"), d["end"].alias("end"), cell(kind, d).alias("cell"),
+                (F.lit(True) if base else evident(kind, d)).alias("label"), F.lit(not base).alias("open"), _rank(kind, d).alias("rank"),
+            ),
+        )
+        return F.when(F.size(source) > 0, own).otherwise(F.array()).cast(none)
+
+    def mails(source: str, open_: bool) -> Column:
+        """Mail addresses have two features: whether they are written out, and whether they end as a domain does (the evidence)."""
+        ends = lambda m: m["value"].rlike(r"[\])}.]\x20?[A-Za-z]{2,}$")
         own = F.transform(
             source,
             lambda m: F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), features(kind, m).alias("cell"),
-                (F.lit(True) if base else _label(kind, m)).alias("label"), F.lit(not base).alias("open"), _rank(kind, m).alias("rank"),
+                F.lit(0).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.concat(F.lit(f"0,{int(open_)},"), ends(m).cast("int").cast("string"), F.lit(",0,0,0,0,0")).alias("cell"),
+                (ends(m) if open_ else F.lit(True)).alias("label"), F.lit(open_).alias("open"), F.lit(1000 * RANKS.index("email")).alias("rank"),
             ),
         )
         return F.when(F.size(source) > 0, own).otherwise(F.array()).cast(none)
 
-    proposed = F.concat(*[propose(f"__{k}", k) for k in KINDS], *[propose("__numbers", k) for k in ("ip", "card", "phone")], propose("__mails", "email"))
+    numbers = ("ip", "card", "phone")
+    proposed = F.concat(mails("__email", False), mails("__mails", True), *[propose(f"__{k}", k) for k in numbers], *[propose("__numbers", k) for k in numbers])
     return docs.withColumn("__candidates", proposed).drop("__runs", "__numbers", "__mails", "__masked")
 
 
 def boost(cells: list[tuple[tuple[int, ...], float, float]]) -> list[float]:
-    """Scores (log-odds) of cells (features, count, positives) by boosted trees of depth two on the logistic loss."""
-    scores = [0.0] * len(cells)
-    splits = sorted({(j, v) for x, _, _ in cells for j, v in enumerate(x)})
+    """Scores (log-odds) of cells (features, count, positives) by boosted trees of depth DEPTH on the logistic loss."""
+    x = np.array([c[0] for c in cells])
+    n, positive = np.array([c[1] for c in cells]), np.array([c[2] for c in cells])
+    scores = np.zeros(len(cells))
 
-    def best(rows: list[int], g: list[float], h: list[float]) -> tuple[tuple[int, int] | None, list[int], list[int]]:
-        total_g, total_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
+    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> None:
+        total_g, total_h = g[rows].sum(), h[rows].sum()
         top, cut = 1e-9, None
-        for j, v in splits:
-            a = [i for i in rows if cells[i][0][j] <= v]
-            if not a or len(a) == len(rows):
-                continue
-            ga, ha = sum(g[i] for i in a), sum(h[i] for i in a)
-            gain = ga**2 / (ha + RIDGE) + (total_g - ga) ** 2 / (total_h - ha + RIDGE) - total_g**2 / (total_h + RIDGE)
-            if gain > top:
-                top, cut = gain, (j, v)
+        for j in range(x.shape[1] if depth else 0):
+            own = x[rows, j]
+            ga, ha = np.cumsum(np.bincount(own, g[rows]))[:-1], np.cumsum(np.bincount(own, h[rows]))[:-1]
+            there = np.bincount(own)[:-1] > 0
+            gain = np.where(there, ga**2 / (ha + RIDGE) + (total_g - ga) ** 2 / (total_h - ha + RIDGE) - total_g**2 / (total_h + RIDGE), 0)
+            if len(gain) and gain.max() > top:
+                top, cut = gain.max(), (j, int(gain.argmax()))
         if cut is None:
-            return None, rows, []
-        j, v = cut
-        return cut, [i for i in rows if cells[i][0][j] <= v], [i for i in rows if cells[i][0][j] > v]
-
-    for _ in range(ROUNDS):
-        p = [1 / (1 + math.exp(-s)) for s in scores]
-        g = [pos - n * q for (_, n, pos), q in zip(cells, p, strict=True)]
-        h = [n * q * (1 - q) for (_, n, _), q in zip(cells, p, strict=True)]
-        cut, left, right = best(list(range(len(cells))), g, h)
-        leaves = [left, right] if cut else [left]
-        for side in leaves:
-            _, a, b = best(side, g, h)
-            for leaf in (a, b):
-                if leaf:
-                    step = RATE * sum(g[i] for i in leaf) / (sum(h[i] for i in leaf) + RIDGE)
-                    for i in leaf:
-                        scores[i] += step
-    return scores
+            scores[rows] += RATE * total_g / (total_h + RIDGE)
+            return
+        low = x[rows, cut[0]] <= cut[1]
+        grow(rows[low], g, h, depth - 1)
+        grow(rows[~low], g, h, depth - 1)
+
+    for _ in range(ROUNDS if len(cells) else 0):
+        p = 1 / (1 + np.exp(-scores))
+        grow(np.arange(len(cells)), positive - n * p, n * p * (1 - p), DEPTH)
+    return scores.tolist()
 
 
 def accepted_cells(found: DataFrame, precision: float = PRECISION) -> list[str]:
-    """The cells whose score passes their kind's threshold; `found` has `__candidates`. Counts cover all rows."""
-    rows = found.select(F.explode("__candidates").alias("c")).groupBy("c.cell").agg(F.count("*").alias("n"), F.sum(F.col("c.label").cast("long")).alias("pos")).collect()
+    """The cells whose score passes their kind's threshold; `found` has `__candidates`. Counts cover all rows.
+
+    The trees learn from base spans and open candidates; a threshold is calibrated on the open ones alone, as base spans stay anyway.
+    """
+    open_ = F.col("c.open").cast("long")
+    label = F.col("c.label").cast("long")
+    rows = found.select(F.explode("__candidates").alias("c")).groupBy("c.cell").agg(F.count("*").alias("n"), F.sum(label).alias("pos"), F.sum(open_).alias("open"), F.sum(open_ * label).alias("good")).collect()
     if len(rows) > CELLS:
         raise ValueError(f"{len(rows)} cells; the features allow {CELLS}")
-    cells = sorted((tuple(map(int, r["cell"].split(","))), float(r["n"]), float(r["pos"])) for r in rows)
-    scores = boost(cells)
+    rows = sorted((tuple(map(int, r["cell"].split(","))), float(r["n"]), float(r["pos"]), r["open"], r["good"]) for r in rows)
+    scores = boost([r[:3] for r in rows])
     out = []
-    for kind in {x[0][0] for x in cells}:
-        own = sorted(((s, *c) for s, c in zip(scores, cells, strict=True) if c[0][0] == kind), reverse=True)
-        n = pos = 0.0
+    for kind in {r[0][0] for r in rows}:
+        own = sorted(((s, x, n, good) for s, (x, _, _, n, good) in zip(scores, rows, strict=True) if x[0] == kind and n), reverse=True)
+        n = pos = 0
         taken, held = [], []
         for i, (s, x, c, p) in enumerate(own):
             n, pos = n + c, pos + p

@@ -127,6 +127,27 @@ def test_numbers_side_by_side_are_candidates_of_their_own(docs):
     assert texts == ["[CARD] [CARD]", "2353820953013749 [CARD] x", "é [CARD] 1.2", "[EMAIL] [CARD] [CARD] [IP]"]
 
 
+@pytest.mark.parametrize("common", [True, False])
+def test_evidence_finds_what_the_base_rule_does_not(docs, common):
+    """Phones without plus, cards of 15 digits and written-out mails, whether common or rare beside base matches; not order numbers."""
+    rng = random.Random(11)
+    number = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    rows = [f"tel 555 {number(3)} {number(4)}" for _ in range(200 if common else 3)] + [f"write to joe{i} [at] firm [dot] com now" for i in range(200 if common else 3)]
+    rows += ["card 378282246310005 paid"] * (200 if common else 3)
+    wanted = len(rows)
+    plain = ["call +1 (234) 555-1234"] * 300 + ["a@b.co"] * 300 + ["seen 4845168114407329 there"] * 300
+    noise = [f"order {number(8)} sent" for _ in range(300)] + [f"id {number(15)}" for _ in range(300)] + ["value 20240131 1200"] * 100 + ["+1 (234) 555-1234 4845168114407329"]
+    rows += plain + noise
+    out = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_spans(docs(rows)).collect()}
+    kinds = ["phone"] * (wanted // 3) + ["email"] * (wanted // 3) + ["card"] * (wanted // 3)
+    for i, kind in enumerate(kinds):
+        start = {"phone": 4, "email": 9, "card": 5}[kind]
+        end = len(rows[i]) - {"phone": 0, "email": 4, "card": 5}[kind]
+        assert out[i] == [(kind, start, end)], (rows[i], out[i])
+    assert not any(out[i] for i in range(wanted + 900, len(rows) - 1))
+    assert out[len(rows) - 1] == [("card", 18, 34), ("phone", 0, 17)]
+
+
 def test_redaction(docs):
     long = "x" * (pii.CHUNK - 5) + " a@b.example.com and +1 (234) 555-1234\n" + "y" * 9000 + " 1.2.3.4"
     frame = docs([long, "keep é", None, "4111111111111111", "a@b.co"])
