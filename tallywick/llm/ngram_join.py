@@ -16,7 +16,8 @@ within blocks of a partition, and of those the most frequent MAX_FREQUENT are br
 
 Defined results: null and empty texts have size 0 and are linked with nothing; texts of fewer words
 than a shingle have their whole sequence as one; repeated ids are judged as rows of their own and
-named by the smallest id of their component; an empty table gives an empty table; other input
+named by the smallest id of their component; rows with a null id are linked like any, and a component without any id
+has a null name; keep_one keeps a row with an id where its component has one; an empty table gives an empty table; other input
 columns are not read. Sets are told apart by 64-bit hashes.
 """
 
@@ -190,14 +191,19 @@ def shared_lists(rows: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of docs whose id is a node's; the table of nodes is broadcast if it is small, else both are shuffled."""
+    """Rows of docs whose id is a node's; the table of nodes is broadcast if it is small, else both are shuffled.
+
+    Nodes (doc_id, null_hash, ...) without an id are found by their text's hash.
+    """
+    nodes = nodes.withColumnsRenamed({"doc_id": "__id", "null_hash": "__hash"})
     if nodes.count() <= MAX_BROADCAST:
         nodes = F.broadcast(nodes)
-    return docs.select("doc_id", "text").join(nodes, "doc_id")
+    own = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("null_hash"))
+    return own.join(nodes, own["doc_id"].eqNullSafe(nodes["__id"]) & own["null_hash"].eqNullSafe(nodes["__hash"]))
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) of nodes (doc_id, node); sets are ascending unsigned 64-bit hashes as bytes."""
+    """(node, set) of nodes (doc_id, null_hash, node); sets are ascending unsigned 64-bit hashes as bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +229,7 @@ def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int)
     chosen = materialize(chosen, "chosen")
     sizes = materialize(chosen.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     parts = chosen.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("size") / RUN)))
-    keyed = materialize(parts.join(names, "node").select("doc_id", "node", F.xxhash64("token", "part").alias("key"), "central"), "keyed")
+    keyed = materialize(parts.join(names, "node").select("doc_id", "null_hash", "node", F.xxhash64("token", "part").alias("key"), "central"), "keyed")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +326,7 @@ def open_links(docs: DataFrame, lists: DataFrame, names: DataFrame) -> DataFrame
     held = members.join(parts, "block").select("node", "c", F.lit(0).alias("role"), F.expr("transform(sequence(0, parts - 1), p -> xxhash64(block, p))").alias("keys"))
     # a node's text is read once, with all the places its set goes to
     each = others.unionByName(held).select("node", "c", F.explode("keys").alias("key"), "role").groupBy("node").agg(F.min("c").alias("c"), F.collect_set(F.struct("key", "role")).alias("places"))
-    keyed = materialize(each.join(names, "node").select("doc_id", "node", "c", "places"), "keyed")
+    keyed = materialize(each.join(names, "node").select("doc_id", "null_hash", "node", "c", "places"), "keyed")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -366,7 +372,7 @@ def open_links(docs: DataFrame, lists: DataFrame, names: DataFrame) -> DataFrame
 
 def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The pairs that are similar, by their whole sets."""
-    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node").select("doc_id", "node"), "nodes")
+    nodes = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node").select("doc_id", "null_hash", "node"), "nodes")
     sets = materialize(node_sets(docs, nodes), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,12 +387,12 @@ def verified(docs: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) per row; component_id is null where the set is empty."""
+    """(doc_id, text_hash, n_shingles, component, component_id) per row; component is null where the set is empty, component_id also where no member has an id."""
     spark = docs.sparkSession
     modest_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(prefixes(docs, *frequent_shingles(docs)), "prefixes")
-    names = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("grp").alias("grp"), F.min("n").alias("n")), "names")
+    names = materialize(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.when(F.min("doc_id").isNull(), F.min("text_hash")).alias("null_hash"), F.min("grp").alias("grp"), F.min("n").alias("n")), "names")
     shared = materialize(shared_lists(rows), "shared")
     several = names.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     lists = shared.join(names.select("node", "grp"), "grp").select("token", "node", "n", "pos", F.lit(1).cast("long").alias("weight"))
@@ -395,7 +401,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     lists = lists.unionByName(names.join(several, "grp", "left_semi").select(F.xxhash64("grp").alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"), whole))
     lists = materialize(lists, "lists")
     forget(spark, shared)
-    keys = names.select("node", "doc_id")
+    keys = names.select("node", "doc_id", "null_hash")
     links = materialize(leader_links(docs, lists, keys, 1), "links")
     left = open_lists(lists, links)
     links = materialize(links.unionByName(leader_links(docs, left, keys, 2)), "links")
@@ -407,8 +413,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     # a component is named by its smallest id; a node without links is one of its own
     named = materialize(names.select("node", "doc_id").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "doc_id"), "components")
     least = materialize(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
-    named = materialize(named.join(least, "c").select("node", "component_id"), "named")
-    return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+    named = materialize(named.join(least, "c").select("node", F.col("c").alias("component"), "component_id"), "named")
+    return rows.join(named, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -423,17 +429,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     repeated with equal text pass through a de-duplication.
     """
     spark = docs.sparkSession
-    rows = materialize(joined(docs).where(F.col("component_id").isNotNull()).select("doc_id", "text_hash", "component_id"), "joined")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("doc_id"), F.col("k.text_hash").alias("text_hash"))
+    rows = materialize(joined(docs).where(F.col("component").isNotNull()).select("doc_id", "text_hash", "component"), "joined")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__text"))
     first = materialize(first, "first")
-    gone = rows.join(first, ["doc_id", "text_hash"], "left_anti").distinct()
+    gone = rows.join(first, rows["doc_id"].eqNullSafe(first["__id"]) & (rows["text_hash"] == first["__text"]), "left_anti").select("doc_id", "text_hash").distinct()
     twice = rows.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
 
     def pick(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
         keys = keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
         keys = F.broadcast(keys) if keys.count() <= MAX_BROADCAST else keys
-        return frame.join(keys, (frame["doc_id"] == keys["__id"]) & (frame["__hash"] == keys["__text"]), how)
+        return frame.join(keys, frame["doc_id"].eqNullSafe(keys["__id"]) & (frame["__hash"] == keys["__text"]), how)
 
     gone, twice = materialize(gone, "gone"), materialize(twice, "twice")
     kept = pick(keyed, gone, "left_anti")

@@ -94,6 +94,23 @@ def test_keep_one(docs):
     assert ngram_join.keep_one(frame.limit(0)).count() == 0
 
 
+def test_null_ids_are_linked_and_one_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MANY", 4)
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([f"v{k}", *base[1:]])
+    rows = [(None, near(k)) for k in range(12)] + [(None, near(3)), (None, "quite other words are in here now"), (None, "ids and none of them share this text"), (7, "ids and none of them share this text"), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.joined(frame.repartition(3)).join(frame.select(F.xxhash64("text").alias("text_hash"), "text").distinct(), "text_hash").collect()
+    assert len({r["component"] for r in out if r["text"] and r["text"].startswith("v")}) == 1
+    assert {r["component_id"] for r in out if r["text"] and r["text"].startswith("ids")} == {7}
+    assert len(ngram_join.near_duplicates(frame).collect()) == len(rows)
+    kept = ngram_join.keep_one(frame).collect()
+    assert sum((r["text"] or "").startswith("v") for r in kept) == 1
+    assert [r["doc_id"] for r in kept if (r["text"] or "").startswith("ids")] == [7]
+    assert len(kept) == 5
+
+
 def test_components(spark, smallest):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
