@@ -5,8 +5,8 @@ nearest centroids, for several choices of centroids that lie apart, so that no d
 shard builds a graph whose lists are pruned robustly; a node's lists of all its shards are united.
 Then each shard runs, for the nodes it is home to, a greedy search from its medoid over the united
 lists, which goes on from every node found within the range; what it finds is verified by the cosine in
-double precision. Recall is audited against brute force on a bounded sample of queries, and more
-choices of centroids are added while it is too low.
+double precision. Recall is audited against brute force on a bounded sample of queries that grows until it sees enough
+links; more choices of centroids are added while it is too low or not measured, and a recall below LOW at the end is reported by a warning.
 
 Centroids come from a bounded sample (at most MAX_CENTROIDS in all times SAMPLE vectors); every
 row is indexed. A shard is held by one task: about TARGET nodes while the centroids suffice.
@@ -19,6 +19,7 @@ gives an empty table; other input columns are not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ TARGET, MAX_CENTROIDS, SAMPLE, APART = 500, 4096, 4, 0.8
 OVERLAP, SEEDS, MOST_SEEDS = 2, 2, 6
 DEGREE, POOL, ALPHA, BEAM = 20, 48, 1.2, 24
 AUDIT, LEAST_RECALL = 256, 0.97
+#: True links that an audit should see, nodes of its largest sample, and the recall below which the result is reported as short.
+LEAST_LINKS, MOST_AUDIT, LOW = 300, 16_384, 0.9
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -215,13 +218,24 @@ def graph_links(items: DataFrame, seeds: range) -> DataFrame:
     return placed.join(united, "node").groupBy("shard").applyInPandas(search, "a long, b long").distinct()
 
 
-def audit(items: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
-    """Recall of the links of about `sample` nodes (by hash) against brute force over all rows; the queries are bounded and broadcast."""
+def audit(items: DataFrame, links: DataFrame, sample: int = AUDIT) -> float | None:
+    """Recall against brute force: the sample grows until LEAST_LINKS true links are seen, it has MOST_AUDIT nodes or all; None where too few are seen."""
     n = items.count()
+    while True:
+        true, hits = audited(items, links, sample, n)
+        if true >= LEAST_LINKS or sample >= n:
+            return hits / true if true else 1.0
+        if sample >= MOST_AUDIT:
+            return None
+        sample *= 8
+
+
+def audited(items: DataFrame, links: DataFrame, sample: int, n: int) -> tuple[int, int]:
+    """(true links, those found) of about `sample` of n nodes (by hash), by brute force over all rows; the queries are bounded and broadcast."""
     share = int(min(1.0, sample / max(n, 1)) * (1 << 30))
     queries = items.where(F.pmod(F.xxhash64(F.lit(77), "node"), F.lit(1 << 30)) < share).select("node", "part", "vector").toPandas()
     if queries.empty:
-        return 1.0
+        return 0, 0
     sets = {p: (own["node"].to_numpy(), unit(np.stack(own["vector"].to_numpy()))) for p, own in queries.groupby("part")}
     sent = items.sparkSession.sparkContext.broadcast(sets)
 
@@ -236,7 +250,7 @@ def audit(items: DataFrame, links: DataFrame, sample: int = AUDIT) -> float:
 
     true = items.select("node", "part", "vector").mapInPandas(scan, "a long, b long").distinct()
     row = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).first()
-    return (row["hits"] or 0) / row["n"] if row["n"] else 1.0
+    return row["n"], row["hits"] or 0
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -249,8 +263,13 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         more = graph_links(items, step)
         links = materialize(more if links is None else links.unionByName(more).distinct(), "links")
         at = step[-1] + 1
-        if audit(items, links) >= LEAST_RECALL:
+        recall = audit(items, links)
+        if recall is not None and recall >= LEAST_RECALL:
             break
+    if recall is None:
+        warnings.warn(f"recall is not measured: {MOST_AUDIT} nodes have under {LEAST_LINKS} links; all {MOST_SEEDS} choices of centroids were used", stacklevel=2)
+    elif recall < LOW:
+        warnings.warn(f"recall {recall:.3f} after {MOST_SEEDS} choices of centroids, below {LOW}: links are missing", stacklevel=2)
     copies = items.select("node", "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = ends.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "node")

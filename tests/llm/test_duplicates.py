@@ -154,3 +154,19 @@ def test_exact_copies_count_as_links(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in range(40)] + [(50, [1.0, 2.0, 3.01], 1), (51, [-1.0, 2.0, 3.0], 1)]
     out = {r["vec_id"]: r for r in vector_graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
     assert out[0]["n_links"] == 40 and out[50]["n_links"] == 40 and out[51]["n_links"] == 0
+
+
+def test_audit_sees_rare_links_and_low_recall_is_reported(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 16))
+    x[2985:] = x[:15] + 0.01
+    items = vector_graph.nodes(spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(3000)], "vec_id long, embedding array<double>, label int"))
+    none = spark.createDataFrame([], "a long, b long")
+    assert vector_graph.audit(items, none, 8) == 0.0
+    monkeypatch.setattr(vector_graph, "MOST_AUDIT", 64)
+    assert vector_graph.audit(items, none, 8) is None
+    monkeypatch.undo()
+    monkeypatch.setattr(vector_graph, "MOST_SEEDS", 2)
+    monkeypatch.setattr(vector_graph, "graph_links", lambda items, seeds: none)
+    with pytest.warns(UserWarning, match="links are missing"):
+        vector_graph.near_duplicates(spark.createDataFrame([(i, [1.0, i / 1000], 1) for i in range(50)], "vec_id long, embedding array<double>, label int"))
