@@ -9,7 +9,7 @@ from ..functions.scalar import dcg_discount, ratio, rrf
 from ..schemas import CONTENT_GRID, DAY_MS, HYBRID_WEIGHTS, ITEM_CF_GRID, TARGET_EVENTS
 from ..scratch import stage
 from . import recommend as R
-from .layers import user_items
+from .layers import global_rank, user_items
 from .similarity import MAX_HISTORY, MIN_COOCCURRENCE, NEIGHBORS, train_similarity
 from .split import available_items, histories, novel_targets, popularity
 
@@ -80,7 +80,7 @@ def evaluate(targets: DataFrame, train: DataFrame, items: DataFrame, similar: Da
 def tune(events: DataFrame, items: DataFrame, vectors: DataFrame, final_cutoff: int, minimum: int, target: str = "transaction", days: int = 14, cutoff_ms: int | None = None, k: int = 10, max_history: int = MAX_HISTORY, min_cooccurrence: int = MIN_COOCCURRENCE, top: int = NEIGHBORS) -> DataFrame:
     """All trials of the grid in one plan: (trial, weights..., precision, recall, ndcg, hit_rate, best), on warm visitors of a window before the cutoff.
 
-    Content parts are made once; the five content weightings and the eleven fusions are small broadcast tables.
+    Cosines and affinities are made once for all content weightings; each is cut to its pool in the task that scores it.
     """
     if days <= 0 or k <= 0:
         raise ValueError("validation days and k must be positive")
@@ -98,41 +98,26 @@ def tune(events: DataFrame, items: DataFrame, vectors: DataFrame, final_cutoff:
     similar = train_similarity(train, "last_interaction_timestamp_ms", max_history, min_cooccurrence, top)
     pool = R.pool_size(k)
     cf = stage(R.cf_candidates(history, similar, items, pool).select("visitor_id", "item_id", F.col("rank").alias("cf_rank")))
-    grid = spark.createDataFrame([(i, *w) for i, w in enumerate(CONTENT_GRID)], "grid int, vector_weight double, category_weight double, parent_weight double")
-    scored = R.content_parts(history, items, vectors).crossJoin(F.broadcast(grid))
-    scored = stage(scored.select("grid", "visitor_id", "item_id", R.content_score(F.col("vector_weight"), F.col("category_weight"), F.col("parent_weight")).alias("score")))
-    keys = ("grid", "visitor_id")
-    content = R.top(R.fill_zero(scored, history, items, pool, keys), pool, keys=keys).select(*keys, "item_id", F.col("rank").alias("content_rank"))
-    merged = content.join(cf.crossJoin(F.broadcast(grid.select("grid"))), [*keys, "item_id"], "full")
-    mixes = spark.createDataFrame([(i, w, round(1 - w, 10)) for i, w in enumerate(ITEM_CF_GRID)], "mix int, item_cf_weight double, content_weight double")
+    content = R.content_grid(history, items, vectors, pool, CONTENT_GRID).select("grid", "visitor_id", "item_id", F.col("rank").alias("content_rank"))
+    grids = F.explode(F.sequence(F.lit(0), F.lit(len(CONTENT_GRID) - 1)))
+    merged = content.join(cf.withColumn("grid", grids), ["grid", "visitor_id", "item_id"], "full")
+    mixes = F.array(*[F.struct(F.lit(i).alias("mix"), F.lit(float(w)).alias("item_cf_weight"), F.lit(round(1 - w, 10)).alias("content_weight")) for i, w in enumerate(ITEM_CF_GRID)])
     constant = HYBRID_WEIGHTS["rrf_constant"]
     part = lambda weight, rank: F.coalesce(rrf(F.col(weight), F.col(rank), constant), F.lit(0.0))
-    trials = merged.crossJoin(F.broadcast(mixes)).withColumn("trial", F.col("grid") * len(ITEM_CF_GRID) + F.col("mix"))
+    trials = merged.select("*", F.inline(mixes)).withColumn("trial", F.col("grid") * len(ITEM_CF_GRID) + F.col("mix"))
     ranked = trials.withColumn("score", F.round(part("item_cf_weight", "cf_rank") + part("content_weight", "content_rank"), R.DIGITS))
     ranked = stage(R.top(ranked, k, keys=("trial", "visitor_id")).select("trial", "visitor_id", "item_id", "rank"))
-    # the pool of content items is full for warm visitors of any catalog of k items or more, so only smaller ones are filled up
-    filled = _fill_trials(ranked, targets, history, popular, k)
+    every = targets.select("visitor_id").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(CONTENT_GRID) * len(ITEM_CF_GRID) - 1))))
+    filled = R.with_fallback(ranked, every, history, popular, k, ("trial", "visitor_id"))
     per = user_metrics(filled, targets, k, ("trial",))
     scores = per.groupBy("trial").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "ndcg")], F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate"))
-    named = grid.crossJoin(mixes).withColumn("trial", F.col("grid") * len(ITEM_CF_GRID) + F.col("mix")).drop("grid", "mix")
+    named = [(i * len(ITEM_CF_GRID) + j, *w, float(c), round(1 - c, 10)) for i, w in enumerate(CONTENT_GRID) for j, c in enumerate(ITEM_CF_GRID)]
+    named = spark.createDataFrame(named, "trial int, vector_weight double, category_weight double, parent_weight double, item_cf_weight double, content_weight double")
     rounded = scores.select("trial", *[F.round(c, R.DIGITS).alias(c) for c in ("precision", "recall", "ndcg", "hit_rate")])
     order = Window.orderBy(F.desc("ndcg"), F.desc("recall"), F.desc("precision"), F.abs(F.col("item_cf_weight") - 0.5), "trial")  # 55 rows
     return rounded.join(named, "trial").withColumn("place", F.row_number().over(order))
 
 
-def _fill_trials(ranked: DataFrame, targets: DataFrame, history: DataFrame, popular: DataFrame, k: int) -> DataFrame:
-    trials = ranked.select("trial").distinct()
-    counts = targets.select("visitor_id").distinct().crossJoin(F.broadcast(trials)).join(ranked.groupBy("trial", "visitor_id").agg(F.count("*").alias("n")), ["trial", "visitor_id"], "left")
-    short = counts.withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
-    if not short.limit(1).count():
-        return ranked
-    seen = history.groupBy("visitor_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    listed = popular.where(F.col("rank") <= 2 * k + seen).select("item_id", F.col("rank").alias("popular_rank"))
-    fill = short.crossJoin(F.broadcast(listed)).join(history.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti").join(ranked.select("trial", "visitor_id", "item_id"), ["trial", "visitor_id", "item_id"], "left_anti")
-    fill = fill.withColumn("i", F.row_number().over(Window.partitionBy("trial", "visitor_id").orderBy("popular_rank"))).where(F.col("i") <= k - F.col("n"))
-    return ranked.unionByName(fill.select("trial", "visitor_id", "item_id", (F.col("n") + F.col("i")).cast("int").alias("rank")))
-
-
 def serve(visitors: DataFrame, gold: DataFrame, items: DataFrame, similar: DataFrame, vectors: DataFrame | None, popular: DataFrame, k: int = 10, max_history: int = MAX_HISTORY, weights: dict[str, float] | None = None) -> DataFrame:
     """(visitor_id, rank, item_id, score, sources, category_id, parent_category_id, model) for many visitors at once.
 
@@ -144,7 +129,7 @@ def serve(visitors: DataFrame, gold: DataFrame, items: DataFrame, similar: DataF
     mine = gold.join(visitors, "visitor_id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_history)
     history = stage(mine.select("visitor_id", "item_id", F.col("interaction_score").cast("double").alias("score")))
     pool = R.pool_size(k)
-    listed = popular.join(available_items(items), "item_id", "left_semi")
+    listed = global_rank(popular.drop("rank").join(available_items(items), "item_id", "left_semi"), [F.desc("score"), F.col("item_id")])
     cf = R.cf_candidates(history, similar, items, pool)
     if vectors is None:
         content = cf.limit(0)

@@ -106,11 +106,8 @@ def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> Dat
     return placed.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__i") - F.col("first") + F.col("before") + 1).drop("__p", "__i", "first", "before")
 
 
-def item_popularity(gold: DataFrame, items: DataFrame, distributed_rank: bool = False) -> DataFrame:
-    """Every catalog item with its totals (0 where it has none) and its rank by score, then id.
-
-    The rank needs one task for all items unless distributed_rank is set, which pays off beyond some millions of items.
-    """
+def item_popularity(gold: DataFrame, items: DataFrame) -> DataFrame:
+    """Every catalog item with its totals (0 where it has none) and its rank by score, then id."""
     totals = gold.groupBy("item_id").agg(
         F.count("*").alias("distinct_users"), F.sum("view_count").alias("view_count"), F.sum("cart_count").alias("cart_count"),
         F.sum("purchase_count").alias("purchase_count"), F.sum("interaction_score").alias("total_interaction_score"),
@@ -119,7 +116,4 @@ def item_popularity(gold: DataFrame, items: DataFrame, distributed_rank: bool =
     rows = items.select("item_id", "category_id", "parent_category_id", "available").join(totals, "item_id", "left")
     rows = rows.select("item_id", "category_id", "parent_category_id", "available", *map(zero, totals.columns[1:]))
     rows = rows.withColumn("avg_interaction_score", ratio(F.col("total_interaction_score"), F.col("distinct_users"))).withColumn("conversion_rate", ratio(F.col("purchase_count"), F.col("view_count")))
-    order = [F.desc("total_interaction_score"), F.col("item_id")]
-    if distributed_rank:
-        return global_rank(rows, order, "popularity_rank")
-    return rows.withColumn("popularity_rank", F.row_number().over(Window.orderBy(*order)))
+    return global_rank(rows, [F.desc("total_interaction_score"), F.col("item_id")], "popularity_rank")

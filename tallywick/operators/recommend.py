@@ -5,16 +5,15 @@ Scores are rounded to DIGITS before ranking, so that the order of floating-point
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rrf
 from ..schemas import CONTENT_WEIGHTS, HYBRID_WEIGHTS
 from ..scratch import stage
+from .scoring import DIGITS, best_items
 from .split import available_items
 
-DIGITS = 9
-
 
 def pool_size(k: int) -> int:
     if k <= 0:
@@ -58,24 +57,6 @@ def affinity(history: DataFrame, items: DataFrame, column: str) -> DataFrame:
     return own.join(total, "visitor_id").select("visitor_id", column, (F.col("w") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("affinity"))
 
 
-def content_parts(history: DataFrame, items: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(visitor_id, item_id, cosine, category, parent) for available unseen items that share a bucket, a category or a parent with the visitor.
-
-    Three equi-joins instead of visitors times catalog: items in none of them score exactly 0.
-    """
-    open_items = items.where(F.col("available") == 1).select("item_id", "category_id", "parent_category_id")
-    profile = content_profile(history, vectors)
-    known = profile.select("visitor_id").distinct()
-    zero = F.lit(0.0)
-    cosine = profile.withColumnRenamed("weight", "p").join(vectors.join(open_items, "item_id", "left_semi"), "bucket").groupBy("visitor_id", "item_id").agg(F.sum(F.col("p") * F.col("weight")).alias("cosine"))
-    parts = [cosine.select("visitor_id", "item_id", "cosine", zero.alias("category"), zero.alias("parent"))]
-    for column, name in (("category_id", "category"), ("parent_category_id", "parent")):
-        own = affinity(history, items, column).join(known, "visitor_id", "left_semi").join(open_items.select("item_id", column), column)
-        parts.append(own.select("visitor_id", "item_id", zero.alias("cosine"), *[(F.col("affinity") if n == name else zero).alias(n) for n in ("category", "parent")]))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("visitor_id", "item_id").agg(*[F.sum(c).alias(c) for c in ("cosine", "category", "parent")])
-    return rows.join(history.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti")
-
-
 def check_content_weights(*weights: float) -> None:
     if min(weights) < 0:
         raise ValueError("content weights cannot be negative")
@@ -83,32 +64,19 @@ def check_content_weights(*weights: float) -> None:
         raise ValueError("at least one content weight must be positive")
 
 
-def content_score(vector: Column | float, category: Column | float, parent: Column | float) -> Column:
-    as_column = lambda w: F.lit(float(w)) if isinstance(w, (int, float)) else w
-    return F.round(as_column(vector) * F.col("cosine") + as_column(category) * F.col("category") + as_column(parent) * F.col("parent"), DIGITS)
-
-
-def fill_zero(scored: DataFrame, history: DataFrame, items: DataFrame, pool: int, keys: tuple[str, ...] = ("visitor_id",)) -> DataFrame:
-    """Adds items of score 0 where fewer than `pool` of a visitor score above it (0 comes before negative scores).
-
-    The list to fill from holds as many of the first items by id as the fullest of those visitors may skip, plus the pool.
-    """
-    need = scored.groupBy(*keys).agg(F.count_if(F.col("score") > 0).alias("good"), F.count("*").alias("n")).where(F.col("good") < pool)
-    need = stage(need.join(history.groupBy("visitor_id").agg(F.count("*").alias("seen")), "visitor_id"))
-    skip = need.agg(F.max(F.col("n") + F.col("seen"))).first()[0]
-    if skip is None:
-        return scored
-    first = available_items(items).orderBy("item_id").limit(pool + skip)
-    zeros = need.select(*keys).crossJoin(F.broadcast(first)) if pool + skip <= 100_000 else need.select(*keys).join(first)
-    zeros = zeros.join(scored.select(*keys, "item_id"), [*keys, "item_id"], "left_anti").join(history.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti")
-    return scored.unionByName(zeros.withColumn("score", F.lit(0.0)).select(*scored.columns))
+def content_grid(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, weights: list[tuple[float, float, float]]) -> DataFrame:
+    """(grid, visitor_id, item_id, score, rank): the `pool` best available unseen items of each visitor with a profile, for each triple of weights."""
+    for triple in weights:
+        check_content_weights(*triple)
+    open_items = items.where(F.col("available") == 1).select("item_id", "category_id", "parent_category_id")
+    shares = [affinity(history, items, c) for c in ("category_id", "parent_category_id")]
+    found = best_items(content_profile(history, vectors), *shares, history, open_items, vectors, weights, pool)
+    return top(stage(found), pool, keys=("grid", "visitor_id"))
 
 
 def content_candidates(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, vector_weight: float = CONTENT_WEIGHTS["vector_weight"], category_weight: float = CONTENT_WEIGHTS["category_weight"], parent_weight: float = CONTENT_WEIGHTS["parent_weight"]) -> DataFrame:
     """(visitor_id, item_id, score, rank) of the `pool` best available unseen items."""
-    check_content_weights(vector_weight, category_weight, parent_weight)
-    scored = content_parts(history, items, vectors).select("visitor_id", "item_id", content_score(vector_weight, category_weight, parent_weight).alias("score"))
-    return top(fill_zero(stage(scored), history, items, pool), pool)
+    return content_grid(history, items, vectors, pool, [(vector_weight, category_weight, parent_weight)]).drop("grid")
 
 
 def fuse(cf: DataFrame, content: DataFrame, cf_weight: float = HYBRID_WEIGHTS["item_cf_weight"], content_weight: float = HYBRID_WEIGHTS["content_weight"], constant: float = HYBRID_WEIGHTS["rrf_constant"]) -> DataFrame:
@@ -118,22 +86,22 @@ def fuse(cf: DataFrame, content: DataFrame, cf_weight: float = HYBRID_WEIGHTS["i
     return both.groupBy("visitor_id", "item_id").agg(F.round(F.sum("s"), DIGITS).alias("score"), F.sort_array(F.collect_set("source")).alias("sources"))
 
 
-def with_fallback(ranked: DataFrame, visitors: DataFrame, history: DataFrame, popular: DataFrame, k: int) -> DataFrame:
-    """(visitor_id, item_id, rank, fallback): the first k of `ranked` (visitor_id, item_id, rank), filled up from popularity.
+def with_fallback(ranked: DataFrame, visitors: DataFrame, history: DataFrame, popular: DataFrame, k: int, keys: tuple[str, ...] = ("visitor_id",)) -> DataFrame:
+    """(keys, item_id, rank, fallback): the first k of `ranked` (keys, item_id, rank), filled up from popularity, whose ranks have no gaps.
 
-    Only visitors short of k are filled, from a list that is bounded by what they may skip: k plus the longest history plus k.
+    A visitor short of k is offered the first k + history ranks, as no more than its history and its own list can be skipped:
+    a join on the rank, as long as the histories are.
     """
-    first = stage(ranked.where(F.col("rank") <= k).select("visitor_id", "item_id", "rank"))
-    visitors = visitors.select("visitor_id").distinct()
-    counts = visitors.join(first.groupBy("visitor_id").agg(F.count("*").alias("n")), "visitor_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    short = counts.where(F.col("n") < k)
-    seen = history.join(short, "visitor_id", "left_semi").groupBy("visitor_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    listed = popular.where(F.col("rank") <= 2 * k + seen).select("item_id", F.col("rank").alias("popular_rank"))
-    fill = short.crossJoin(F.broadcast(listed) if seen <= 100_000 else listed)
-    fill = fill.join(history.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti").join(first.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti")
-    fill = fill.withColumn("i", F.row_number().over(Window.partitionBy("visitor_id").orderBy("popular_rank"))).where(F.col("i") <= k - F.col("n"))
-    fill = fill.select("visitor_id", "item_id", (F.col("n") + F.col("i")).cast("int").alias("rank"), F.lit(True).alias("fallback"))
-    return first.select("visitor_id", "item_id", F.col("rank").cast("int").alias("rank"), F.lit(False).alias("fallback")).unionByName(fill)
+    first = stage(ranked.where(F.col("rank") <= k).select(*keys, "item_id", "rank"))
+    own = visitors.select(*keys).distinct().join(first.groupBy(*keys).agg(F.count("*").alias("n")), list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    seen = history.groupBy("visitor_id").agg(F.count("*").alias("c"))
+    short = own.where(F.col("n") < k).join(seen, "visitor_id", "left")
+    offered = short.select(*keys, "n", F.explode(F.sequence(F.lit(1).cast("long"), k + F.coalesce("c", F.lit(0)))).alias("popular_rank"))
+    fill = offered.join(popular.select("item_id", F.col("rank").cast("long").alias("popular_rank")), "popular_rank")
+    fill = fill.join(history.select("visitor_id", "item_id"), ["visitor_id", "item_id"], "left_anti").join(first.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
+    fill = fill.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("popular_rank"))).where(F.col("i") <= k - F.col("n"))
+    fill = fill.select(*keys, "item_id", (F.col("n") + F.col("i")).cast("int").alias("rank"), F.lit(True).alias("fallback"))
+    return first.select(*keys, "item_id", F.col("rank").cast("int").alias("rank"), F.lit(False).alias("fallback")).unionByName(fill)
 
 
 def popularity_recommendations(visitors: DataFrame, history: DataFrame, popular: DataFrame, k: int) -> DataFrame:

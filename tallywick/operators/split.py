@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import iso
 from ..schemas import DAY_MS, TARGET_EVENTS
-from .layers import user_items
+from .layers import global_rank, user_items
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ def temporal_split(events: DataFrame, items: DataFrame, target: str = "transacti
 def popularity(train: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, score, rank) of available items in training."""
     scores = train.join(available_items(items), "item_id", "left_semi").groupBy("item_id").agg(F.sum("interaction_score").alias("score"))
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")))
+    return global_rank(scores, [F.desc("score"), F.col("item_id")])
 
 
 def histories(train: DataFrame, visitors: DataFrame) -> DataFrame:

@@ -68,7 +68,6 @@ query("gold_item_vectors_md5", "SELECT * FROM vectors")(lambda w: w.vectors)
 query("gold_item_vectors_blake2b")(lambda w: L.item_vectors(w.catalog, digest="blake2b"))
 query("user_activity", "SELECT * FROM activity")(lambda w: L.user_activity(w.gold))
 query("item_popularity", "SELECT * FROM popularity_features")(lambda w: longs(L.item_popularity(w.gold, w.catalog), "popularity_rank"))
-query("item_popularity_distributed", "SELECT * FROM popularity_features")(lambda w: longs(L.item_popularity(w.gold, w.catalog, distributed_rank=True), "popularity_rank"))
 query("history_cap", "SELECT * FROM capped")(lambda w: S.cap_history(w.train, "last_interaction_timestamp_ms"))
 query("item_pair_stats", "SELECT * FROM pairs")(lambda w: S.pair_stats(S.cap_history(w.train, "last_interaction_timestamp_ms")))
 query("item_norms", "SELECT * FROM norms")(lambda w: S.norms(w.train))
