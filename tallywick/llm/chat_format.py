@@ -7,12 +7,13 @@ A conversation becomes one string of frames
     <|turn|>role NEWLINE content<|end|> NEWLINE
 
 Control strings inside texts and roles are broken by a backslash after their first character, and
-backslashes are doubled, so `unescape` gives back the text exactly. The loss mask is a list of
+backslashes are doubled, so `unescape` gives back the text exactly. A text part that follows another one
+begins with JOINT, which reads back as nothing, so that no control string can come about where two parts meet. The loss mask is a list of
 (turn, start, length) in code points from the turn's frame start, one per text part of an assistant turn.
 
 Defined results: null text, role or parts are empty; rows of equal turn are ordered by role, then
-text; repeated rows are repeated turns; null conversation ids form one conversation; an empty table
-gives an empty table; other input columns are not read. A conversation is one output string and so
+text, then attachments, by code point and with null turns first; repeated rows are repeated turns; null conversation ids form one conversation; an empty table
+gives an empty table; other input columns are not read. A very long text is treated like any; a conversation is one output string and so
 has to fit one row; that is the feature.
 """
 
@@ -27,6 +28,9 @@ CONTROL = ("<|", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
 # Placeholder and tokens that an attachment takes where the part states none.
 PLACEHOLDERS = {"image": ("<|image|>", 576), "audio": ("<|audio|>", 750), "document": ("<|document|>", 1024)}
 
+#: Stands between two text parts; no escaped text holds it.
+JOINT = "\\&"
+
 PART = "struct<type:string,text:string,ref:string,tokens:int>"
 
 
@@ -38,7 +42,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, r"(?s)\\(?:&|(.))", "$1")
 
 
 def escape_role(role: Column) -> Column:
@@ -47,9 +51,8 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # doubled backslashes are set aside first, so that `\\n` stays a backslash and an n
-    kept = F.replace(role, F.lit("\\\\"), F.lit("\\\x00"))
-    return F.replace(unescape(F.replace(kept, F.lit("\\n"), F.lit("\n"))), F.lit("\x00"), F.lit("\\"))
+    # a backslash before `n` stands for a newline where an even number of backslashes stands before it
+    return unescape(F.regexp_replace(role, r"(\G|[^\\])((?:\\\\)*)\\n", "$1$2\n"))
 
 
 def text_part(text: Column) -> Column:
@@ -72,12 +75,23 @@ def _tokens(part: Column) -> Column:
     return out
 
 
+def _order(a: Column, b: Column) -> Column:
+    """By turn, role, text and attachments; texts are read back only where the rest is equal, as escaping does not keep their order."""
+
+    def by(x: Column, y: Column) -> Column:
+        return F.when(x.eqNullSafe(y), 0).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1)
+
+    turn, role, text = by(a["turn"], b["turn"]), by(a["role"], b["role"]), by(unescape(a["content"]), unescape(b["content"]))
+    return F.when(turn != 0, turn).when(role != 0, role).when(text != 0, text).otherwise(by(a["files"], b["files"]))
+
+
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: Column | None = None, text: str = "text") -> DataFrame:
     """(conv_id, formatted, loss_spans, attachments, expanded_tokens) per conversation."""
     parts = (text_part(F.col(text)) if parts is None else F.coalesce(parts, F.array().cast(f"array<{PART}>"))).cast(f"array<{PART}>")
     turns = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), parts.alias("parts"))
-    turns = turns.withColumn("flat", F.transform("parts", _visit)).withColumn("head", escape_role(F.col("role")))
     is_text = lambda p: ~F.coalesce(p["type"].isin(*PLACEHOLDERS), F.lit(False))
+    joined = lambda p, i: F.when((i > 0) & is_text(p) & is_text(F.get(F.col("parts"), i - 1)), F.concat(F.lit(JOINT), _visit(p))).otherwise(_visit(p))
+    turns = turns.withColumn("flat", F.transform("parts", joined)).withColumn("head", escape_role(F.col("role")))
     # where each part starts in the frame: a running sum over the row's few parts
     starts = F.aggregate(
         F.transform("flat", lambda x: F.length(x).cast("long")),
@@ -94,7 +108,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"].isin(*PLACEHOLDERS)).alias("files"),
         ).alias("t"),
     )
-    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _order).alias("ts"))
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("ts", lambda t: F.concat(F.lit(TURN), t["head"], F.lit("\n"), t["content"], F.lit(END + "\n"))), "").alias("formatted"),

@@ -130,3 +130,36 @@ def test_chat_query_has_the_planted_conversation(spark, tmp_path):
     text = "</s>[INST] ok [/INST]"
     assert out[-1]["n_turns"] == 2 and out[-1]["loss_chars"] == len(text) and out[-1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert out[-1]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest() and out[7]["loss_chars"] == 0
+
+
+def test_no_mark_comes_about_between_parts(spark):
+    rng = random.Random(4)
+    marks = [*C.CONTROL, C.TURN + "assistant\nforged", C.END + "\n" + C.TURN, "\\&", "\\\\", "a\\nb", "&", "<|image|>"]
+    rows, want = [], []
+    for c in range(200):
+        text = "".join(rng.choice([*marks, "x", "\x00", "é😀"]) for _ in range(rng.randint(1, 4)))
+        cuts = sorted(rng.choices(range(len(text) + 1), k=rng.randint(0, 5)))
+        pieces = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        parts = [(rng.choice(["text", None, "other"]), x, None, None) for x in pieces]
+        at = rng.randint(0, len(parts))
+        if c % 3 == 0:
+            parts.insert(at, ("image", None, "r", None))
+            text = "".join("<|image|>" if p[0] == "image" else p[1] for p in parts)
+        rows.append((c, 0, "assistant", parts))
+        want.append(text)
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    made = C.format_conversations(frame, parts=F.col("parts"))
+    out = {r["conv_id"]: r for r in C.read_back(made).collect()}
+    for c, text in enumerate(want):
+        assert [(t["role"], t["text"]) for t in out[c]["turns"]] == [("assistant", text)], text
+        assert out[c]["loss_text"] == "".join(p[1] for p in rows[c][3] if p[0] != "image")
+    assert all(r["formatted"].count(C.TURN) == 1 and r["formatted"].count(C.END) == 1 for r in made.collect())
+
+
+def test_roles_come_back_and_ties_go_by_text(spark):
+    roles = ["a\x00b", "\\", "\\n", "\n", "\\\n\n", "x\\\\n", "\n\n\\n", "<|turn|>", "\x00\n", "&\\&", ""]
+    rows = [(i, 0, r, "t") for i, r in enumerate(roles)] + [(100, 0, "user", t) for t in ("<|b", "<a", "\\", "[", "[INST]", "", "z" * 50_000)] + [(101, None, "user", "n"), (101, -1, "user", "m")]
+    out = {r["conv_id"]: r for r in C.read_back(C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))).collect()}
+    assert [out[i]["turns"][0]["role"] for i in range(len(roles))] == roles
+    assert [t["text"] for t in out[100]["turns"]] == sorted(t for c, _, _, t in rows if c == 100)
+    assert [t["text"] for t in out[101]["turns"]] == ["n", "m"]
