@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (local mode)."""
+    """spark.checkpoint.dir of the session; only where it is unset and all runs in one JVM, a folder of our own."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tallywick.stage.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallywick-")
         spark.conf.set("tallywick.stage.dir", base)
     return base
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -26,10 +28,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """The rows, written and read back: a short plan for what follows, and nothing to recompute when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
