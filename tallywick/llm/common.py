@@ -2,53 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..scratch import remove, scratch_path, shared_dir
+from ..scratch import stage as materialize
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or (only where it is unset) one made here."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallywick.scratch.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallywick-")
-        spark.conf.set("tallywick.scratch.dir", base)
-    return base
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch
-        pass
+#: Rows of a table of small rows that may be broadcast; copies of each row of a larger one that a hot key is dealt over.
+MOST_BROADCAST, SALTS = 200_000, 32
 
+__all__ = ["forget", "join_small", "materialize", "modest_batches", "scratch_path", "shared_dir", "slices", "table", "text_buffer", "tidy"]
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
 
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage so that a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
@@ -56,7 +29,21 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     plain = lambda uri: re.sub(r"^\w+:/*", "/", uri).rstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if plain(folder).startswith(plain(shared_dir(spark)) + "/") and re.search(r"-[0-9a-f]{12}$", folder):
-            _remove(spark, folder)
+            remove(spark, folder)
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, spread: Column, rows_of_small: int, how: str = "inner") -> DataFrame:
+    """`rows` with the one row of `small` of equal key (null equals null); `small` has the key as `__key` and no other name of `rows`.
+
+    A small table of a checked size is broadcast; a larger one is copied SALTS times and the rows dealt by `spread`,
+    so that a hot key meets in many tasks.
+    """
+    same = rows[key].eqNullSafe(small["__key"])
+    if rows_of_small <= MOST_BROADCAST:
+        return rows.join(F.broadcast(small), same, how).drop("__key")
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    copied = small.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copied, dealt[key].eqNullSafe(copied["__key"]) & (dealt["__salt"] == copied["__copy"]), how).drop("__key", "__salt", "__copy")
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,21 +1,29 @@
 """Host-level quality rules: failures per domain, shrunk by an empirical beta prior, joined back to documents.
 
+Five rules (RULES) look at the five counts. For each rule the failure rates of all hosts give a beta
+prior, and a host's rate is the mean of its posterior, so a host of few documents stays near the rate of all.
+The verdict on a host: it is rejected where a rule's rate is above MAX_HOST_RATE; otherwise it is held to each rule
+whose rate is above TRUSTED_RATE, and trusted with the others. Joined back, a document is kept that passes the base rules
+and all that its host is held to, of a host that is not rejected.
+
 Defined results: a null or empty text has no words (every count 0) and fails the base rule;
-a null source belongs to no host, so its documents are judged by the base rule alone; repeated
-rows are judged (and counted for their host) one by one; an empty table gives an empty table;
+documents with a null source are held to the rules by the mean rate of all hosts; repeated
+rows are judged (and counted for their host) one by one; a very long text is read whole; an empty table gives an empty table;
 further columns of the input are carried by `with_quality`/`keep_documents` unchanged, whatever
-their names (the working column has a reserved name).
+their names (working columns have reserved names).
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import join_small, materialize
 
 # Fixed values of the base rule.
 SYMBOLS = b"#*$%&|<>"
@@ -23,11 +31,21 @@ SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
+#: Shrunk failure rates: above the first a host is rejected, up to the second it is trusted.
+MAX_HOST_RATE, TRUSTED_RATE = 0.6, 0.02
 
 WORK = "__quality"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: When a document fails a rule, by the counts alone (also read by the SQL twin): the base rules, then a symbol to every
+#: ten words, a repeated line to every twenty, and words of under 3 or over 10 characters on average.
+RULES = (
+    f"n_words < {MIN_WORDS}",
+    f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "n_words > 0 AND 10 * n_symbols > n_words",
+    "20 * n_dup_lines > n_words",
+    "n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)",
+)
+BASE = 2  # so many of them are the base rule
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -72,31 +90,31 @@ def _features(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c) for c in found.T], list(FEATURES))
 
 
-def base_failed(q: str = WORK) -> Column:
-    return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{q}.n_words"))
-
-
 def with_quality(docs: DataFrame) -> DataFrame:
-    """The input with one struct column `__quality` of the five counts."""
-    return docs.withColumn(WORK, _features(F.col("text")))
+    """The input with a struct column `__quality` of the five counts and an array `__fails` of which rules fail."""
+    counted = docs.withColumn(WORK, _features(F.col("text")))
+    fails = [F.expr(re.sub(r"\bn_\w+|word_chars", rf"{WORK}.\g<0>", rule)) for rule in RULES]
+    return counted.withColumn("__fails", F.array(*fails))
 
 
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(source, n, failed, rate): failure rates of hosts, shrunk towards the mean of all.
+def host_verdicts(judged: DataFrame) -> tuple[DataFrame, int]:
+    """(__key, __verdict) per host and their number; a verdict has the shrunk rates, and which rules bind; `judged` has source and __fails.
 
-    `judged` has source and failed. The counts are pre-aggregated per task, so a hot host is a
-    few rows in the shuffle. The prior's two parameters come from power sums over the host table
-    by the moment estimator of the beta-binomial; only those five numbers reach the driver.
+    The counts are pre-aggregated per task, so a hot host is a few rows in the shuffle. The prior's parameters come from power
+    sums over the host table by the moment estimator of the beta-binomial; only five numbers of each rule reach the driver.
     """
-    hosts = judged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
+    k = range(len(RULES))
+    hosts = judged.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.get("__fails", F.lit(i))).alias(f"f{i}") for i in k])
     hosts = materialize(hosts, "hosts")
-    m = hosts.agg(
-        F.sum(F.col("n").cast("double")).alias("n"), F.sum(F.col("failed").cast("double")).alias("f"),
-        F.sum(F.col("failed") * F.col("failed") / F.col("n").cast("double")).alias("ff"),
-        F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.count("*").alias("h"),
-    ).first()
-    a, b = beta_prior(m["n"] or 0.0, m["f"] or 0.0, m["ff"] or 0.0, m["nn"] or 0.0, m["h"])
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b)))
+    n = F.col("n").cast("double")
+    sums = [x for i in k for x in (F.sum(F.col(f"f{i}").cast("double")).alias(f"f{i}"), F.sum(F.col(f"f{i}") * F.col(f"f{i}") / n).alias(f"ff{i}"))]
+    m = hosts.where(F.col("source").isNotNull()).agg(F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count("*").alias("h"), *sums).first()
+    rates = []
+    for i in k:
+        a, b = beta_prior(m["n"] or 0.0, m[f"f{i}"] or 0.0, m[f"ff{i}"] or 0.0, m["nn"] or 0.0, m["h"])
+        rates.append(F.when(F.col("source").isNull(), F.lit(a / (a + b))).otherwise((F.col(f"f{i}") + F.lit(a)) / (n + F.lit(a + b))))
+    verdict = F.struct(F.array(*rates).alias("rates"), F.transform(F.array(*rates), lambda r: r > TRUSTED_RATE).alias("binds"))
+    return hosts.select(F.col("source").alias("__key"), verdict.alias("__verdict")), m["h"]
 
 
 def beta_prior(n: float, f: float, ff: float, nn: float, hosts: int) -> tuple[float, float]:
@@ -111,20 +129,32 @@ def beta_prior(n: float, f: float, ff: float, nn: float, hosts: int) -> tuple[fl
     return mean * (1 - rho) / rho, (1 - mean) * (1 - rho) / rho
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(doc_id, the five counts, base_failed, host_rate, kept) per row; counts are made once and kept in the shared folder."""
-    scored = with_quality(docs.select(F.col(id_col).alias("doc_id"), "source", "text")).select("doc_id", "source", f"{WORK}.*")
-    scored = materialize(scored, "quality").withColumn(WORK, F.struct("n_words", "n_repeat_words")).withColumn("failed", base_failed())
-    rates = host_rates(scored.select("source", "failed")).select("source", F.col("rate").alias("host_rate"))
-    return scored.join(rates, "source", "left").select(
-        "doc_id", *FEATURES, F.col("failed").alias("base_failed"), "host_rate",
-        (~F.col("failed") & ~F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))).alias("kept"),
-    )
+def base_failed() -> Column:
+    return F.exists(F.slice("__fails", 1, BASE), lambda x: x)
+
+
+def kept() -> Column:
+    """Whether a row with its host's verdict stays."""
+    rejected = (F.array_max("__verdict.rates") > MAX_HOST_RATE) & F.col("source").isNotNull()
+    bound = F.exists(F.zip_with("__fails", "__verdict.binds", lambda f, b: f & b), lambda x: x)
+    return ~base_failed() & ~rejected & ~bound
+
+
+def judge_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, the five counts, base_failed, host_rate, kept) per row; host_rate is the highest of its rates. The counts are made once and kept in the shared folder."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), "source", "text")
+    scored = materialize(with_quality(rows).drop("text"), "quality")
+    verdicts, hosts = host_verdicts(scored)
+    out = join_small(scored, verdicts, "source", F.col("doc_id"), hosts)
+    return out.select("doc_id", *[F.col(f"{WORK}.{c}").alias(c) for c in FEATURES], base_failed().alias("base_failed"), F.array_max("__verdict.rates").alias("host_rate"), kept().alias("kept"))
 
 
-def keep_documents(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of `docs` that pass, with their own columns; only rejected hosts are joined, so the text is not shuffled while they are few."""
-    judged = with_quality(docs.select("source", "text")).select("source", base_failed().alias("failed"))
-    bad = host_rates(judged).where(F.col("rate") > max_host_rate).select(F.col("source").alias("__bad_host"))
-    good = with_quality(docs).where(~base_failed()).drop(WORK)
-    return good.join(bad, good["source"] == bad["__bad_host"], "left_anti")
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that pass, with their own columns; they are written once with what they fail, which the hosts' table and the choice both read."""
+    scored = with_quality(docs).drop(WORK)
+    # the text of a row that fails the base rules is not read again
+    changed = scored.withColumn("text", F.when(~base_failed(), F.col("text")))
+    scored = materialize(changed, "quality")
+    verdicts, hosts = host_verdicts(scored)
+    out = join_small(scored.where(~base_failed()), verdicts, "source", F.hash("text"), hosts)
+    return out.where(kept()).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,19 +5,18 @@ buckets finds the bucket where its budget ends, and only rows of that bucket are
 the next bits, until it holds one hash. The thresholds filter by comparing hashes: no row is
 sorted, and a larger budget always takes a superset (nested thresholds).
 
-Defined results: a null text has size 0; null is a source of its own, last in order; rows with
+Defined results: a null text has size 0; a very long text is counted whole; null is a source of its own, last in order; rows with
 equal id and text share a hash and are taken together; a source without words has target and taken
 0; an empty table gives an empty table. Reruns agree: the hash depends on id and text alone.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, materialize
+from ..operators.layers import global_rank
+from .common import forget, join_small, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -46,9 +45,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     aggregate over the source table and as many rounds run as there are distinct steps of capping.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = reduce(lambda acc, i: F.when(rank % len(weights) == i, F.lit(weights[i])).otherwise(acc), range(len(weights)), F.lit(0))
-    totals = materialize(totals.withColumn("weight", weight.cast("double")), "sources")
+    totals = global_rank(totals, [F.col("source").asc_nulls_last()], "place")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights)).cast("int"))
+    totals = materialize(totals.withColumn("weight", weight).drop("place"), "sources")
     all_sizes = totals.agg(F.sum("source_size")).first()[0] or 0
     budget, level, cap = share * all_sizes, 0.0, most * F.col("source_size").cast("double")
     while True:
@@ -101,16 +100,16 @@ def copies(h: Column) -> Column:
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) per row."""
     rows = sized(docs, id_col)
-    plan = materialize(thresholds(rows, source_targets(rows)), "mix").withColumnRenamed("source", "__s")
-    return rows.join(plan, rows["source"].eqNullSafe(plan["__s"])).select("doc_id", "source", "size", "source_size", "target", copies(F.col("h")).alias("copies"))
+    plan = materialize(thresholds(rows, source_targets(rows)), "mix").withColumnRenamed("source", "__key")
+    return join_small(rows, plan, "source", rows["h"], plan.count()).select("doc_id", "source", "size", "source_size", "target", copies(F.col("h")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` as often as the mix takes them, with their own columns; rows without words count nothing and are taken as their source's rounds say."""
     rows = sized(docs)
     plan = materialize(thresholds(rows, source_targets(rows)), "mix").select(F.col("source").alias("__s"), "rounds", "cut", "with_cut")
-    plan = plan.select("__s", F.struct("rounds", "cut", "with_cut").alias("__plan"))
-    taken = docs.join(plan, docs["source"].eqNullSafe(plan["__s"]))
+    plan = plan.select(F.col("__s").alias("__key"), F.struct("rounds", "cut", "with_cut").alias("__plan"))
+    taken = join_small(docs, plan, "source", docs["text"], plan.count())
     h = row_hash(docs["doc_id"], docs["text"])
     n = F.col("__plan.rounds") + F.coalesce((h < F.col("__plan.cut")) | ((h == F.col("__plan.cut")) & F.col("__plan.with_cut")), F.lit(False)).cast("long")
     return taken.select(*[docs[c] for c in docs.columns], F.explode(F.when(n > 0, F.array_repeat(F.lit(0), n.cast("int"))).otherwise(F.array())).alias("__copy")).drop("__copy")

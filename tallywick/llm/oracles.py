@@ -7,7 +7,7 @@ that SQL has not) and personal data (a fitted model, and positions of matches);
 from __future__ import annotations
 
 from .chat_format import CONTROL, END, TURN
-from .host_quality import MAX_HOST_RATE
+from .host_quality import BASE, MAX_HOST_RATE, RULES, TRUSTED_RATE
 from .url_filters import HOST_RULES, PATTERNS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,12 +37,14 @@ def _quality() -> str:
       CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
       CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORDS}'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORDS}')))) AS BIGINT) AS n_dup_lines,
       CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN covered c USING (doc_id)),
-    judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-    hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
-    sums AS (SELECT sum(n) AS n, sum(f) / sum(n) AS raw, greatest(1e-4, least(1 - 1e-4, sum(f) / sum(n))) AS m, sum(f * f / n) - sum(n) * (sum(f) / sum(n)) ** 2 AS spread, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free, count(*) AS h FROM hosts),
-    prior AS (SELECT m, greatest(1e-3, least(0.999, CASE WHEN h > 1 AND free > 0 THEN (spread - m * (1 - m) * (h - 1)) / (m * (1 - m) * free) ELSE 0.5 END)) AS rho FROM sums),
-    rates AS (SELECT source, (f + m * (1 - rho) / rho) / (n + (1 - rho) / rho) AS rate FROM hosts, prior)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rate > {MAX_HOST_RATE}, false) AS kept FROM judged LEFT JOIN rates USING (source)"""
+    judged AS (SELECT *, [{", ".join(RULES)}] AS fails FROM base),
+    hosts AS (SELECT source, k, count(*)::DOUBLE AS n, count(*) FILTER (fails[k])::DOUBLE AS f FROM judged, range(1, {len(RULES) + 1}) AS r(k) GROUP BY source, k),
+    sums AS (SELECT k, sum(f) / sum(n) AS raw, greatest(1e-4, least(1 - 1e-4, sum(f) / sum(n))) AS m, sum(f * f / n) - sum(n) * (sum(f) / sum(n)) ** 2 AS spread, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS free, count(*) AS h FROM hosts WHERE source IS NOT NULL GROUP BY k),
+    prior AS (SELECT k, m, greatest(1e-3, least(0.999, CASE WHEN h > 1 AND free > 0 THEN (spread - m * (1 - m) * (h - 1)) / (m * (1 - m) * free) ELSE 0.5 END)) AS rho FROM sums),
+    rates AS (SELECT source, k, CASE WHEN source IS NULL THEN m ELSE (f + m * (1 - rho) / rho) / (n + (1 - rho) / rho) END AS rate FROM hosts JOIN prior USING (k)),
+    verdicts AS (SELECT source, source IS NOT NULL AND max(rate) > {MAX_HOST_RATE} AS rejected, list(rate > {TRUSTED_RATE} ORDER BY k) AS binds FROM rates GROUP BY source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, list_bool_or(fails[1:{BASE}]) AS base_failed,
+      NOT (list_bool_or(fails[1:{BASE}]) OR rejected OR list_bool_or([fails[i] AND binds[i] FOR i IN range(1, {len(RULES) + 1})])) AS kept FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source"""
 
 
 def _escaped(column: str) -> str:

@@ -38,17 +38,78 @@ def test_features_match_plain():
         assert H.text_features(t) == plain_features(t), repr(t)
 
 
+GOOD = " ".join(f"word{i}" for i in range(60))
+
+
 def test_hosts_are_shrunk_and_joined_back(docs):
-    good = " ".join(f"w{i}" for i in range(60))
-    rows = [("short", "bad")] * 400 + [(good, "bad")] * 2 + [(good, "ok")] * 300 + [("short", "small")] + [(good, "small")] + [(good, None), ("short", None), (None, "ok"), ("", "ok")]
+    rows = [("short", "bad")] * 400 + [(GOOD, "bad")] * 2 + [(GOOD, "ok")] * 300 + [("short", "small")] + [(GOOD, "small")] + [(GOOD, None), ("short", None), (None, "ok"), ("", "ok")]
     out = H.judge_documents(docs(rows)).orderBy("doc_id").collect()
-    assert len(out) == len(rows) and [r["base_failed"] for r in out] == [t != good for t, _ in rows]
+    assert len(out) == len(rows) and [r["base_failed"] for r in out] == [t != GOOD for t, _ in rows]
     kept = [r["kept"] for r in out]
     assert not any(kept[:402]) and all(kept[402:702])
     assert kept[703] and kept[704] and not kept[705]  # a small host is not condemned by one failure; null has no host
     stay = H.keep_documents(docs(rows))
     assert stay.columns == docs(rows).columns and sorted(r["doc_id"] for r in stay.collect()) == [i for i, k in enumerate(kept) if k]
-    assert H.judge_documents(docs(rows).limit(0)).count() == 0
+    assert H.judge_documents(docs(rows).limit(0)).count() == 0 and H.keep_documents(docs(rows).limit(0)).count() == 0
+
+
+def plain_host_verdicts(rows):
+    """kept per row, by loops over documents and the formulas of the docstring."""
+    fails = []
+    for text, _ in rows:
+        w, c, s, d, r = plain_features(text)
+        fails.append((w < 50, 100 * r > 50 * w, w > 0 and 10 * s > w, 20 * d > w, w > 0 and not 3 * w <= c <= 10 * w))
+    hosts = {}
+    for (_, source), f in zip(rows, fails, strict=True):
+        hosts.setdefault(source, []).append(f)
+    priors = []
+    for k in range(5):
+        own = [(len(x), sum(f[k] for f in x)) for s, x in hosts.items() if s is not None]
+        priors.append(H.beta_prior(float(sum(n for n, _ in own)), float(sum(f for _, f in own)), sum(f * f / n for n, f in own), float(sum(n * n for n, _ in own)), len(own)))
+    out = []
+    for (_, source), f in zip(rows, fails, strict=True):
+        n = 0 if source is None else len(hosts[source])
+        rates = [((0 if source is None else sum(x[k] for x in hosts[source])) + a) / (n + a + b) for k, (a, b) in enumerate(priors)]
+        rejected = source is not None and max(rates) > H.MAX_HOST_RATE
+        out.append(not (f[0] or f[1] or rejected or any(f[k] and rates[k] > 0.02 for k in range(5))))
+    return out
+
+
+def test_verdicts_bind_by_host_and_rule(docs):
+    rng = random.Random(5)
+    signs, lines, long_ = GOOD + " #### $$$$", "line\n" * 3 + "same\nsame\nsame\nsame\nsame\n" + GOOD, " ".join("x" * 12 + str(i) for i in range(60))
+    rows = []
+    for host, share in (("clean", 0.001), ("noisy", 0.1), ("worse", 0.3), ("junk", 0.8)):
+        for _ in range(400):
+            rows.append((rng.choice([signs, lines, long_, "short", None, "a " * 60]) if rng.random() < share else GOOD, host))
+    rows += [(signs, "clean"), (signs, None), (GOOD, None), (GOOD + " " + "é" * 200_000, "clean"), (signs, "one"), (GOOD, "one")]
+    rng.shuffle(rows)
+    out = H.judge_documents(docs(rows)).orderBy("doc_id").collect()
+    assert [r["kept"] for r in out] == plain_host_verdicts(rows)
+    kept = {(rows[r["doc_id"]][0], rows[r["doc_id"]][1]): r["kept"] for r in out}
+    assert kept[signs, "clean"] and not kept[signs, "noisy"] and kept[GOOD, "noisy"] and not kept[signs, None] and kept[GOOD, None]
+    assert sorted(r["doc_id"] for r in H.keep_documents(docs(rows)).collect()) == [r["doc_id"] for r in out if r["kept"]]
+
+
+def test_a_large_table_of_hosts_is_joined_alike(docs, monkeypatch):
+    from tallywick.llm import common
+
+    rows = [(GOOD if i % 3 else "short", f"h{i % 7}" if i % 11 else None) for i in range(300)]
+    want = sorted(map(tuple, H.judge_documents(docs(rows)).collect()))
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, H.judge_documents(docs(rows)).collect())) == want
+
+
+def test_verdicts_act_on_the_test_tables(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables here")
+    from tallywick.llm.common import table
+
+    out = H.judge_documents(table(spark, "/root/testdata/sf0.01", "documents"))
+    turned = out.where("NOT base_failed AND NOT kept").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").groupBy("quality").count().collect()
+    assert [r["quality"] for r in turned] == [0] and turned[0]["count"] > 10  # by their hosts alone, and none labelled good
 
 
 def test_prior():
