@@ -16,8 +16,10 @@ from ..scratch import stage as materialize
 
 #: Rows of a table of small rows that may be broadcast; copies of each row of a larger one that a hot key is dealt over.
 MOST_BROADCAST, SALTS = 200_000, 32
+#: Rows of one key from which on it is hot: a table has fewer than its rows / HOT of them.
+HOT = 10_000
 
-__all__ = ["forget", "join_small", "materialize", "modest_batches", "scratch_path", "shared_dir", "slices", "table", "text_buffer", "tidy"]
+__all__ = ["forget", "join_hot", "join_small", "materialize", "modest_batches", "scratch_path", "shared_dir", "slices", "table", "text_buffer", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,21 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, spread: Column, rows
     return dealt.join(copied, dealt[key].eqNullSafe(copied["__key"]) & (dealt["__salt"] == copied["__copy"]), how).drop("__key", "__salt", "__copy")
 
 
+def join_hot(rows: DataFrame, other: DataFrame, key: str, size: str) -> DataFrame:
+    """`rows` left-joined with `other`, which has one row per key and how many `rows` have it (`size`).
+
+    Hot keys are joined by broadcast, the rest by the key, and rows without a key are not shuffled.
+    """
+    hot, cold = other.where(F.col(size) > HOT), other.where(F.col(size) <= HOT)
+    with_hot = rows.join(F.broadcast(hot), key)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    none = rows.where(F.col(key).isNull())
+    for c in other.columns:
+        if c != key:
+            none = none.withColumn(c, F.lit(None).cast(other.schema[c].dataType))
+    return with_hot.unionByName(rest).unionByName(none)
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, row offsets of length n+1) of a string column without making Python strings; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -161,12 +161,73 @@ def test_audit_sees_rare_links_and_low_recall_is_reported(spark, monkeypatch):
     x = rng.normal(size=(3000, 16))
     x[2985:] = x[:15] + 0.01
     items = vector_graph.nodes(spark.createDataFrame([(i, [float(v) for v in x[i]], 1) for i in range(3000)], "vec_id long, embedding array<double>, label int"))
-    none = spark.createDataFrame([], "a long, b long")
+    none = spark.createDataFrame([], "node long, links long, others long, least long")
     assert vector_graph.audit(items, none, 8) == 0.0
     monkeypatch.setattr(vector_graph, "MOST_AUDIT", 64)
     assert vector_graph.audit(items, none, 8) is None
     monkeypatch.undo()
-    monkeypatch.setattr(vector_graph, "MOST_SEEDS", 2)
-    monkeypatch.setattr(vector_graph, "graph_links", lambda items, seeds: none)
-    with pytest.warns(UserWarning, match="links are missing"):
-        vector_graph.near_duplicates(spark.createDataFrame([(i, [1.0, i / 1000], 1) for i in range(50)], "vec_id long, embedding array<double>, label int"))
+    monkeypatch.setattr(vector_graph, "MOST_SEEDS", 3)
+    real, choices = vector_graph.graph_links, []
+
+    def nothing_but_whole(placed, first):
+        choices.append(placed.agg(F.max(F.array_max("bases"))).first()[0])
+        return real(placed, first) if choices[-1] == vector_graph.WHOLE else none
+
+    monkeypatch.setattr(vector_graph, "graph_links", nothing_but_whole)
+    with pytest.warns(UserWarning, match="all pieces are paired"):
+        found = vector_graph.find_links(items).groupBy().sum("links").first()[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert found == links_by_force(unit, np.ones(len(x), int)).sum() >= 30 and len(choices) == 3 and choices[-1] == vector_graph.WHOLE
+
+
+def links_by_force(x, label):
+    true = np.zeros(len(x), int)
+    for a in range(0, len(x), 1000):
+        true[a : a + 1000] = ((x[a : a + 1000] @ x.T >= 0.93) & (label[a : a + 1000, None] == label)).sum(1) - 1
+    return true
+
+
+def test_a_group_of_20000_near_copies_is_counted_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    x = np.vstack([base + 0.17 * rng.normal(size=(20_000, 32)), rng.normal(size=(2_000, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.ones(len(x), int)
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    seen = []
+    real = vector_graph.components
+    monkeypatch.setattr(vector_graph, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    out = rows.transform(vector_graph.near_duplicates).toPandas().sort_values("vec_id")
+    true = links_by_force(x, label)
+    found = out["n_links"].to_numpy()
+    assert (found <= true).all() and found.sum() >= 0.97 * true.sum() and true.max() > 10_000
+    assert out["component_id"].nunique() <= 2_000 + (true == 0).sum()
+    assert seen[0] < 100 * len(x)  # rows of the class table, not the 10 ** 8 pairs
+
+
+def test_cut_shards_agree_with_brute_force(spark, monkeypatch):
+    for name, value in (("TARGET", 100), ("MOST", 150), ("PIECE", 60)):
+        monkeypatch.setattr(vector_graph, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    for group in range(6):
+        x[200 * group : 200 * group + 20 + 30 * group] = rng.normal(size=16) + 0.2 * rng.normal(size=(20 + 30 * group, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = rng.integers(0, 2, len(x))
+    rows = [(i, v, int(n)) for i, (v, n) in enumerate(zip(x.tolist(), label, strict=True))] + [(5, x[5].tolist(), int(label[5]))]
+    out = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").transform(vector_graph.near_duplicates).collect()
+    true = links_by_force(x, label)
+    true[label == label[5]] += (x[label == label[5]] @ x[5] >= 0.93)  # the repeated row
+    assert len(out) == len(rows) and all(r["n_links"] <= true[r["vec_id"]] for r in out)
+    assert sum(r["n_links"] for r in out) >= 0.99 * (true.sum() + true[5])
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from tallywick.llm import common
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else min(i, 5)) for i in range(100)], "id long, k long")
+    other = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("k <> 3")
+    want = sorted(map(str, rows.join(other, "k", "left").select("id", "k", "n", "top").collect()))
+    for hot in (1, 10, 10_000):
+        monkeypatch.setattr(common, "HOT", hot)
+        assert sorted(map(str, common.join_hot(rows, other, "k", "n").select("id", "k", "n", "top").collect())) == want
