@@ -5,7 +5,8 @@ every piece, fitted by expectation maximisation over words; a forward algorithm
 probability of all segmentations of a word, and a text's log-likelihood is the sum over its words.
 
 Words are runs of letters of the lower-cased text (bytes beyond ASCII count as letters), each with
-a leading space; one longer than LONGEST_WORD bytes is cut there, so that every byte is scored.
+a leading space, of any length. A word falls into parts where no piece crosses, whose sums multiply; long parts
+are summed by logarithms, so that nothing underflows.
 All words of a batch are scored at once; distinct ones are remembered by their hash, up to MEMO.
 
 Learning reads a bounded sample: about `train_docs` documents of each language (by a hash of the
@@ -13,7 +14,7 @@ id, so at any size it is the same share of each partition), of which only word c
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the
 first language by name; repeated rows are judged alike; without any labelled row every text is
-`und`; an empty table gives an empty table; other input columns are not read.
+`und`; a very long text is scored whole, in time linear in it, block by block where it has words; an empty table gives an empty table; other input columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .tokens import vocabulary_path
 
 TRAIN_DOCS = 1500
 ROUNDS = 3
-LONGEST_PIECE, LONGEST_WORD = 10, 32
 MEMO, BLOCK = 1_000_000, 1 << 20
+#: Bytes of a part up to which plain products cannot underflow, of a piece's prefix that is looked up first, of words in one lattice.
+PLAIN, PREFIX, CHUNK = 40, 8, 1 << 18
 FLOOR = 0.05  # expected count that every piece has besides what was seen
 
 _WORD = np.zeros(256, bool)
@@ -43,7 +45,7 @@ _WORD[128:] = True
 
 
 def byte_pieces(path: str | None = None) -> list[bytes]:
-    """The vocabulary's pieces as bytes, those of at most LONGEST_PIECE bytes that can occur in a lower-cased word."""
+    """The vocabulary's pieces as bytes: all that can occur in a lower-cased word, and every single byte."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that such vocabularies write as themselves
     names = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(kept))}
     with open(path or vocabulary_path(), encoding="utf-8") as f:
@@ -51,7 +53,7 @@ def byte_pieces(path: str | None = None) -> list[bytes]:
     out = set()
     for w in words:
         raw = bytes(names[c] for c in w) if all(c in names for c in w) else b""
-        if 0 < len(raw) <= LONGEST_PIECE and all(_WORD[b] for b in raw.removeprefix(b" ")):
+        if raw and all(_WORD[b] for b in raw.removeprefix(b" ")):
             out.add(raw)
     out |= {bytes([b]) for b in range(256) if _WORD[b]} | {b" "}
     return sorted(out)
@@ -73,93 +75,130 @@ def lower_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if len(ends) < len(starts):
         ends = np.append(ends, len(data))
     starts = starts - 1
-    if len(starts) and (ends - starts).max() > LONGEST_WORD:
-        parts = -(-(ends - starts) // LONGEST_WORD)
-        first = np.repeat(starts, parts) + LONGEST_WORD * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        ends, starts = np.minimum(first + LONGEST_WORD, np.repeat(ends, parts)), first
     return data, starts, ends, np.searchsorted(starts, offsets)
 
 
+class Pieces:
+    """The pieces by hash; their ids are their places in the list."""
+
+    def __init__(self, pieces: list[bytes]):
+        n = np.array([len(p) for p in pieces])
+        ends = np.cumsum(n)
+        data, starts = np.frombuffer(b"".join(pieces), np.uint8), ends - n
+        keys = segment_hashes(data, starts, ends)
+        self.ids = np.argsort(keys)
+        self.keys = keys[self.ids]
+        self.sizes = np.unique(n).tolist()
+        long_ = n > PREFIX
+        self.prefixes = np.unique(segment_hashes(data, starts[long_], starts[long_] + PREFIX))
+
+    def found(self, keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
+def _log_sums(values: np.ndarray, groups: np.ndarray, members: np.ndarray) -> np.ndarray:
+    top = np.maximum.reduceat(values, groups, axis=0)
+    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, members, axis=0)), groups, axis=0))
+
+
 class Lattice:
-    """All occurrences of pieces in a list of words, longest word first."""
-
-    def __init__(self, piece_keys: np.ndarray, piece_ids: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.order = np.argsort(starts - ends, kind="stable")
-        self.n = (ends - starts)[self.order]
-        if not len(self.n):
-            self.at = {}
-            return
-        starts = starts[self.order]
-        self.base = np.cumsum(self.n) - self.n
-        flat = np.repeat(starts - self.base, self.n) + np.arange(self.n.sum())
-        own = data[flat]
-        left = np.repeat(self.n, self.n) - (np.arange(len(own)) - np.repeat(self.base, self.n))
-        none = len(piece_ids)
-        self.at = {}
-        for size in range(1, LONGEST_PIECE + 1):
-            here = np.flatnonzero(left >= size)
+    """All occurrences of pieces (edges) in a list of words, which are cut into parts where no piece crosses.
+
+    A part of n bytes has n + 1 nodes; edges are ordered by the place in the part where they end, then by part.
+    """
+
+    def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        n = ends - starts
+        base = np.cumsum(n) - n
+        total = int(n.sum())
+        own = data[np.repeat(starts - base, n) + np.arange(total)]
+        left = np.repeat(base + n, n) - np.arange(total)
+        at, size, ids = [], [], []
+        begins = None
+        for k in pieces.sizes:
+            here = np.flatnonzero(left >= k) if begins is None else begins[left[begins] >= k]
             if not len(here):
                 break
-            keys = segment_hashes(own, here, here + size)
-            i = np.minimum(np.searchsorted(piece_keys, keys), len(piece_keys) - 1)
-            ids = np.full(len(own), none, np.int32)
-            ids[here] = np.where(piece_keys[i] == keys, piece_ids[i], none)
-            self.at[size] = ids
-
-    def active(self, p: int) -> int:
-        return int(np.searchsorted(-self.n, -p, side="left"))  # words longer than p
-
-    def forward(self, prob: np.ndarray) -> list[np.ndarray]:
-        """prob has a row per piece, the last of zeros; alpha[p] holds the words of at least p bytes."""
-        alpha = [np.ones((len(self.n), prob.shape[1]))]
-        for p in range(1, int(self.n[0]) + 1 if len(self.n) else 1):
-            a = self.active(p - 1)
-            total = np.zeros((a, prob.shape[1]))
-            for size in range(1, min(p, LONGEST_PIECE) + 1):
-                ids = self.at[size][self.base[:a] + p - size]
-                total += alpha[p - size][:a] * prob[ids]
-            alpha.append(total)
+            i, good = pieces.found(segment_hashes(own, here, here + k), pieces.keys)
+            at.append(here[good])
+            size.append(np.full(good.sum(), k))
+            ids.append(pieces.ids[i[good]])
+            if k <= PREFIX < min([x for x in pieces.sizes if x > k], default=0):
+                long_ = np.flatnonzero(left > PREFIX)
+                begins = long_[pieces.found(segment_hashes(own, long_, long_ + PREFIX), pieces.prefixes)[1]]
+        at, size, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (at, size, ids))
+        crossed = np.cumsum(np.bincount(at + 1, minlength=total + 2) - np.bincount(at + size, minlength=total + 2))[:total]
+        first = np.flatnonzero(crossed == 0)  # parts begin there; the first byte of a word is never inside a piece
+        self.words = np.searchsorted(first, base)
+        self.length = np.diff(np.append(first, total))
+        part = np.searchsorted(first, at, side="right") - 1
+        stop = at + size - first[part]
+        order = np.lexsort((part, stop))
+        self.part, self.stop, self.id = part[order], stop[order], ids[order]
+        self.begin = at[order] + self.part
+        self.end = self.begin + size[order]
+        self.first = first + np.arange(len(first))
+        self.nodes = total + len(first)
+
+    def _steps(self, chosen: np.ndarray, by: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(edges, first of each node's edges, how many) for each place of the parts; `chosen` is ordered by place, then part, and `by` names the node."""
+        node = by[chosen]
+        place = self.stop[chosen] if by is self.end else (self.begin - self.first[self.part])[chosen]
+        edge = np.append(0, np.flatnonzero(np.diff(place)) + 1)
+        for a, b in zip(edge, np.append(edge[1:], len(chosen)), strict=True):
+            groups = np.append(0, np.flatnonzero(np.diff(node[a:b])) + 1)
+            yield chosen[a:b], groups, np.diff(np.append(groups, b - a))
+
+    def log_likelihood(self, log_prob: np.ndarray) -> np.ndarray:
+        """Of each word, summed over all segmentations, for each column of log_prob (pieces by languages)."""
+        wide = log_prob.shape[1]
+        out = np.full((len(self.length), wide), -np.inf)
+        plain = self.length <= PLAIN
+        alpha = np.zeros((self.nodes, wide))
+        alpha[self.first] = 1.0
+        prob = np.exp(log_prob)
+        chosen = np.flatnonzero(plain[self.part])
+        if len(chosen):
+            for edges, groups, _ in self._steps(chosen, self.end):
+                alpha[self.end[edges[groups]]] = np.add.reduceat(alpha[self.begin[edges]] * prob[self.id[edges]], groups, axis=0)
+            with np.errstate(divide="ignore"):
+                out[plain] = np.log(alpha[(self.first + self.length)[plain]])
+        chosen = np.flatnonzero(~plain[self.part])
+        if len(chosen):
+            out[~plain] = self.forward(log_prob, chosen)[(self.first + self.length)[~plain]]
+        return np.add.reduceat(out, self.words, axis=0) if len(self.words) else np.zeros((0, wide))
+
+    def forward(self, log_prob: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """By logarithms: of each node the sum over all ways to it."""
+        alpha = np.full((self.nodes, log_prob.shape[1]), -np.inf)
+        alpha[self.first] = 0.0
+        for edges, groups, members in self._steps(chosen, self.end):
+            alpha[self.end[edges[groups]]] = _log_sums(alpha[self.begin[edges]] + log_prob[self.id[edges]], groups, members)
         return alpha
 
-    def log_likelihood(self, prob: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.n), prob.shape[1]))
-        alpha = self.forward(prob)
-        for p in range(1, len(alpha)):
-            a, longer = self.active(p - 1), self.active(p)
-            out[longer:a] = np.log(np.maximum(alpha[p][longer:a], 1e-300))
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back
-
-    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of the pieces over words with weights, for one language."""
-        counts, weight = np.zeros(len(prob)), weight[self.order]
-        if not len(self.n):
-            return counts
-        alpha = [x[:, 0] for x in self.forward(prob)]
-        last = int(self.n[0])
-        beta = [np.zeros(len(a)) for a in alpha]
-        for p in range(last, -1, -1):
-            a, longer = self.active(p - 1), self.active(p)
-            beta[p][longer:a] = 1.0
-            for size in range(1, min(LONGEST_PIECE, last - p) + 1):
-                b = self.active(p + size - 1)
-                beta[p][:b] += prob[self.at[size][self.base[:b] + p], 0] * beta[p + size][:b]
-        scale = weight / np.maximum(beta[0], 1e-300)
-        for p in range(last):
-            for size in range(1, min(LONGEST_PIECE, last - p) + 1):
-                b = self.active(p + size - 1)
-                ids = self.at[size][self.base[:b] + p]
-                counts += np.bincount(ids, alpha[p][:b] * prob[ids, 0] * beta[p + size][:b] * scale[:b], len(prob))
-        return counts
+    def expected(self, log_prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces over words with weights, for one language (one column)."""
+        every = np.arange(len(self.id))
+        if not len(every):
+            return np.zeros(len(log_prob))
+        alpha = self.forward(log_prob, every)[:, 0]
+        beta = np.full((self.nodes, 1), -np.inf)
+        beta[self.first + self.length] = 0.0
+        by_begin = np.lexsort((self.part, self.begin - self.first[self.part]))
+        for edges, groups, members in reversed(list(self._steps(by_begin, self.begin))):
+            beta[self.begin[edges[groups]]] = _log_sums(beta[self.end[edges]] + log_prob[self.id[edges]], groups, members)
+        whole = alpha[self.first + self.length][self.part]
+        share = np.exp(alpha[self.begin] + log_prob[self.id, 0] + beta[self.end, 0] - whole)
+        weight = np.repeat(weight, np.diff(np.append(self.words, len(self.length))))
+        return np.bincount(self.id, share * weight[self.part], len(log_prob))
 
 
 class Model:
     """Piece probabilities per language; languages times pieces numbers, bounded by the vocabulary."""
 
     def __init__(self, languages: list[str], pieces: list[bytes], prob: np.ndarray):
-        self.languages, self.prob = languages, np.vstack([prob, np.zeros((1, prob.shape[1]))])
-        self.piece_keys, self.piece_ids = piece_table(pieces)
+        self.languages, self.log_prob, self.pieces = languages, np.log(prob), Pieces(pieces)
         self.keys, self.scores = np.zeros(0, np.uint64), np.zeros((0, prob.shape[1]), np.float32)
 
     def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +209,8 @@ class Model:
         i = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(i, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            found = Lattice(self.piece_keys, self.piece_ids, data, starts[first[new]], ends[first[new]]).log_likelihood(self.prob)
+            a, b = starts[first[new]], ends[first[new]]
+            found = np.concatenate([Lattice(self.pieces, data, a[i:j], b[i:j]).log_likelihood(self.log_prob) for i, j in slices(np.append(0, np.cumsum(b - a)), CHUNK)])
             self.keys, self.scores = np.insert(self.keys, i[new], keys[new]), np.insert(self.scores, i[new], found.astype(np.float32), axis=0)
             i = np.searchsorted(self.keys, keys)
         return self.scores[i], back
@@ -178,7 +218,7 @@ class Model:
     def text_scores(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood of each row by language."""
         data, starts, ends, rows = lower_words(column)
-        out = np.zeros((len(rows) - 1, self.prob.shape[1]))
+        out = np.zeros((len(rows) - 1, self.log_prob.shape[1]))
         if len(starts):
             scores, back = self.word_scores(data, starts, ends)
             full = np.flatnonzero(rows[1:] > rows[:-1])
@@ -186,13 +226,6 @@ class Model:
         return out
 
 
-def piece_table(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(p) for p in pieces])
-    keys = segment_hashes(np.frombuffer(b"".join(pieces), np.uint8), np.append(0, ends[:-1]), ends)
-    order = np.argsort(keys)
-    return keys[order], order
-
-
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
@@ -225,7 +258,7 @@ def sample_word_counts(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Dat
 def fit(counts: pa.Table, vocabulary: str | None = None, rounds: int = ROUNDS) -> Model | None:
     """Expectation maximisation for each language over its word counts."""
     pieces = byte_pieces(vocabulary)
-    keys, ids = piece_table(pieces)
+    table = Pieces(pieces)
     languages = sorted(set(counts.column("lang").to_pylist()))
     if not languages:
         return None
@@ -233,14 +266,16 @@ def fit(counts: pa.Table, vocabulary: str | None = None, rounds: int = ROUNDS) -
     for lang in languages:
         own = counts.filter(pc.equal(counts.column("lang"), lang)).sort_by("word")
         words, n = own.column("word").to_pylist(), own.column("n").to_numpy().astype(np.float64)
-        ends = np.cumsum([len(w) for w in words])
-        lattice = Lattice(keys, ids, np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
-        prob = np.full((len(pieces) + 1, 1), 1 / len(pieces))
-        prob[-1] = 0
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        cuts = slices(np.append(0, ends), 16 * CHUNK)
+        lattices = [(Lattice(table, data, ends[i:j] - sizes[i:j], ends[i:j]), n[i:j]) for i, j in cuts]
+        prob = np.full(len(pieces), 1 / len(pieces))
         for _ in range(rounds):
-            seen = lattice.expected(prob, n)[:-1] + FLOOR
-            prob[:-1, 0] = seen / seen.sum()
-        columns.append(prob[:-1, 0])
+            seen = sum(lattice.expected(np.log(prob)[:, None], w) for lattice, w in lattices) + FLOOR
+            prob = seen / seen.sum()
+        columns.append(prob)
     return Model(languages, pieces, np.stack(columns, 1))
 
 

@@ -184,15 +184,69 @@ def test_language_edges(docs):
     assert language_id.fit_and_identify(frame.limit(0)).count() == 0
 
 
-def test_forward_sums_all_segmentations():
+def segmentations(word, pieces):
+    if not word:
+        return [[]]
+    return [[i, *rest] for i, p in enumerate(pieces) if word.startswith(p) for rest in segmentations(word[len(p) :], pieces)]
+
+
+def lattice(pieces, words):
+    import numpy as np
+
+    ends = np.cumsum([len(w) for w in words])
+    return language_id.Lattice(language_id.Pieces(pieces), np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+
+
+@pytest.mark.parametrize("plain", [0, 3, 40])
+def test_forward_sums_all_segmentations(monkeypatch, plain):
     import numpy as np
 
-    pieces = [b"a", b"ab", b"b", b"ba"]
-    prob = np.array([[0.4], [0.3], [0.2], [0.1], [0.0]])
-    keys, ids = language_id.piece_table(pieces)
-    text = np.frombuffer(b"abaab", np.uint8)
-    got = language_id.Lattice(keys, ids, text, np.array([0, 3]), np.array([3, 5])).log_likelihood(prob)
-    assert np.allclose(np.exp(got[:, 0]), [0.4 * 0.2 * 0.4 + 0.3 * 0.4 + 0.4 * 0.1, 0.4 * 0.2 + 0.3])
+    monkeypatch.setattr(language_id, "PLAIN", plain)
+    monkeypatch.setattr(language_id, "PREFIX", 2)
+    rng = np.random.default_rng(plain)
+    pieces = [b"a", b"b", b"c", b"ab", b"ba", b"aab", b"abca", b"bbbbb", "é".encode(), b"\xc3", b"\xa9"]
+    prob = rng.dirichlet(np.ones(len(pieces)), 3).T
+    words = ["".join(rng.choice(list("abcé"), rng.integers(1, 11))).encode() for _ in range(200)] + [b"a", b"c" * 12, b"bbbbbbbbbb"]
+    got = lattice(pieces, words).log_likelihood(np.log(prob))
+    ways = [segmentations(w, pieces) for w in words]
+    assert np.allclose(got, [np.log(sum(np.prod(prob[x], axis=0) for x in own)) for own in ways])
+    # one round of expectation maximisation: each way counts its pieces by its share of the sum
+    weight = rng.integers(1, 9, len(words)).astype(float)
+    want = np.zeros(len(pieces))
+    for own, n in zip(ways, weight, strict=True):
+        p = np.array([np.prod(prob[x, 0]) for x in own])
+        for x, share in zip(own, p / p.sum(), strict=True):
+            for i in x:
+                want[i] += n * share
+    assert np.allclose(lattice(pieces, words).expected(np.log(prob[:, :1]), weight), want)
+
+
+def test_long_words_neither_underflow_nor_are_cut():
+    import numpy as np
+
+    pieces = [b"a", b"aa", b"b"]
+    log_prob = np.log([[1e-9], [1e-12], [1 - 1e-9 - 1e-12]])
+    n = 3000
+    before, now = 0.0, log_prob[0, 0]  # the same recursion, word by word
+    for _ in range(n - 1):
+        before, now = now, np.logaddexp(now + log_prob[0, 0], before + log_prob[1, 0])
+    assert np.allclose(lattice(pieces, [b"a" * n]).log_likelihood(log_prob), now)
+    kept = language_id.byte_pieces()
+    assert max(map(len, kept)) == 128 and b" information" in kept
+
+
+def test_whole_texts_are_scored_as_the_sum_of_their_words(docs):
+    import numpy as np
+    import pyarrow as pa
+
+    pieces = language_id.byte_pieces()
+    rng = np.random.default_rng(2)
+    model = language_id.Model(["x", "y"], pieces, rng.dirichlet(np.ones(len(pieces)), 2).T)
+    texts = ["The theme, then: Ab ab", None, "", "é中文 über" * 50, "z" * 3000]
+    got = model.text_scores(pa.array(texts))
+    for text, scores in zip(texts, got, strict=True):
+        words = [b" " + w for w in re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode())]
+        assert np.allclose(scores, sum((lattice(pieces, [w]).log_likelihood(model.log_prob)[0] for w in words), np.zeros(2)), rtol=1e-5)
 
 
 def test_pipeline(spark, tmp_path):
