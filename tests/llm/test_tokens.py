@@ -87,6 +87,20 @@ def test_records_edge_cases(spark, docs):
     assert [r["doc_id"] for r in token_records.read_records(spark, path).collect()] == [4] * 4
 
 
+def test_null_ids_come_first_and_shards_follow_the_size(spark, docs, monkeypatch):
+    rows = texts(200)[:200]
+    frame = docs(rows).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id")))
+    monkeypatch.setattr(token_records, "SHARD", 1000)
+    path = common.scratch_path(spark, "t")
+    token_records.write_records(frame, path)
+    assert spark.read.parquet(f"{path}/manifest").count() > 5
+    out = token_records.read_records(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [None] * 40 + [i for i in range(200) if i % 5]
+    ids = [x + [2] for x in library(rows)]
+    got = [np.frombuffer(r["ids"], "<u4").tolist() for r in out]
+    assert sorted(got[:40]) == sorted(ids[i] for i in range(200) if i % 5 == 0) and got[40:] == [ids[i] for i in range(200) if i % 5]
+
+
 def test_damage_is_found():
     record = bytearray(token_records.frame(7, np.array([1, 2, 70000]), 4))
     assert token_records.read_frame(record, 0)[1].tolist() == [1, 2, 70000]
