@@ -3,19 +3,25 @@
 Base spans follow fixed patterns and stay whatever the model says. High-recall generators propose
 further, overlapping spans apart from those: each run of digits with separators, and each part of it cut at separators, as a
 phone, a card and an address at once, and mail addresses whose signs are written out. Of overlapping ones that are
-accepted, that of the greatest rank is taken. A candidate is described by a few format and context
-features with small ranges, so all candidates of all rows fall into a bounded number of cells (at
-most CELLS), which are counted over all data by one aggregate. Boosted trees are fitted on the cells;
-base spans and candidates with evidence apart from the base patterns
-(see `evident`) are the positives. A threshold for each
-kind is calibrated to a precision on the candidates that are no base spans, and cells above it are accepted.
+accepted, that of the greatest rank is taken.
+
+A candidate is described by a few format features and one of context (the words just before, of 24 characters that are read),
+all with small ranges, so the candidates of all rows fall into a bounded number of cells (some 300,000 by the ranges, a few
+hundred in practice), which are counted over all data by one aggregate. `evidence` labels those candidates that something beside their
+shape speaks for or against: context words, checksums, an international prefix, a known domain. Base spans are positive too. The rest is unlabelled and never learnt from.
+
+Boosted trees are fitted on the labelled cells, once as they are and once with the context hidden, so that they also
+learn what a kind looks like where no word tells. Each kind has two thresholds, calibrated to a precision. That of labelled cells, where the evidence
+is among the features, is set on the labelled candidates themselves. That of unlabelled cells is set on held-out candidates whose context is
+hidden: each half of the texts is scored by trees that are fitted on the other half. It counts two more
+errors than it sees, and takes only cells of SUPPORT such candidates or more.
 
 Positions come from the lengths between matches, so a text is scanned a fixed number of times and
 never by matches times length. The patterns match what the plain ones do, but start only where a run starts,
 and give nothing back, so that they take linear time and no stack on long runs.
 
 Defined results: a null text is empty; no spans give the digest of the empty string; of overlapping spans
-the first to start is replaced; repeated rows are judged alike; an empty table gives an empty table; `redact`
+the first to start is replaced; repeated rows are judged alike; a very long text is read whole; an empty table gives an empty table; `redact`
 carries further columns unchanged, whatever their names (working columns have reserved names).
 """
 
@@ -59,6 +65,9 @@ FIRST_KNOWN = NATIONAL
 #: Starts of cards of 13 to 15 digits.
 ISSUED = r"^(?:4[0-9]{12}|3[068][0-9]{12}|3[47][0-9]{13})$"
 LEAST_DIGITS, MOST_DIGITS = 7, 19
+#: Words just before a written-out mail address, and domains that it ends in.
+MAIL_WORDS = r"(?i)(?<![a-z])(?:e-?mail|mail|contact|write|reach)(?:\x20(?:me|us|is|at|to))*[^a-z0-9\x01]*$"
+DOMAINS = "com org net edu gov mil int info biz io co eu us uk de fr es it nl be ch at pl pt se no fi dk cz ru cn jp kr in br au ca mx ie nz za app dev me tv ai".split()
 #: Digit groups of a candidate, and groups before it that are read as context.
 MOST_GROUPS, NEAR = 6, 6
 TOUCH_LEFT, TOUCH_RIGHT = r"[A-Za-z0-9_\"#=/]$", r"^[A-Za-z_\"%/@]"
@@ -66,8 +75,11 @@ MASK = "\x01"
 RANKS = ("phone", "ip", "card", "email")
 
 PRECISION = 0.98
-ROUNDS, RATE, RIDGE, DEPTH = 30, 0.3, 1.0, 5
-CELLS = 20_000
+ROUNDS, RATE, RIDGE, DEPTH = 30, 0.3, 1.0, 6
+#: Halves of the texts for the calibration; held-out candidates that an unlabelled cell needs.
+FOLDS, SUPPORT = 2, 20
+#: Labels of candidates.
+NO, YES, UNKNOWN = 0, 1, 2
 BLOCK = 256
 CHUNK = 4096
 
@@ -160,11 +172,13 @@ def described(kind: str, m: Column) -> Column:
     for i, form in reversed(list(enumerate(LAYOUTS, 1))):
         layout = F.when(m["value"].rlike(form), F.lit(i)).otherwise(layout)
     n = F.length(number)
+    groups = F.regexp_count(m["value"], F.lit("[0-9]+"))
+    first = F.length(F.regexp_extract(m["value"], "[0-9]+", 0))
     card = F.when(~n.between(13, 19), 0).when(~luhn(number), 0).when((n >= 16) | number.rlike(ISSUED), 2).otherwise(1)
     return F.struct(
         m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), n.alias("n"), bucket(n, (8, 10, 13, 16)).alias("size"),
         F.when(m["value"].startswith("+"), 1).when(m["value"].startswith("("), 2).otherwise(0).alias("lead"), layout.alias("layout"), card.alias("card"),
-        m["left"].alias("left"), m["right"].alias("right"), context.alias("context"),
+        bucket(groups, (2, 3, 4, 5)).alias("groups"), bucket(first, (3, 4, 5)).alias("first"), m["left"].alias("left"), m["right"].alias("right"), context.alias("context"),
     )
 
 
@@ -174,8 +188,8 @@ def touching(m: Column) -> Column:
 
 
 def cell(kind: str, d: Column) -> Column:
-    """The cell of a described candidate: its small numbers joined by commas, led by its kind."""
-    return F.concat_ws(",", F.lit(KINDS.index(kind)).cast("string"), *[d[p].cast("string") for p in ("size", "lead", "layout", "card", "left", "right", "context")])
+    """The cell of a described candidate: its small numbers joined by commas, led by its kind, the context last."""
+    return F.concat_ws(",", F.lit(KINDS.index(kind)).cast("string"), *[d[p].cast("string") for p in ("size", "lead", "layout", "card", "groups", "first", "left", "right", "context")])
 
 
 def _masked(text: Column) -> Column:
@@ -236,27 +250,32 @@ def _rank(kind: str, d: Column) -> Column:
     return F.lit(1000 * RANKS.index(kind)) + F.when((d["layout"] >= FIRST_KNOWN) | (d["lead"] == 1), 100).otherwise(0) + F.length(digits(d["value"]))
 
 
-def evident(kind: str, d: Column) -> Column:
-    """Whether a candidate of numbers is of its kind by evidence that stands apart from the base patterns.
+def evidence(kind: str, d: Column) -> Column:
+    """YES or NO where something beside its shape tells whether a number is of the kind, else UNKNOWN.
 
-    A phone: a word for it just before, a plus (next to another number the base drops those), or a national layout. A card: Luhn, standing as one group or in groups as cards are printed; one of 13 to
-    15 digits also starts as an issuer of that length does, or has a word for it just before. An address: a dotted quad after a word for it.
-    Words for other numbers speak against phones and short cards, letters on either side against all.
+    A phone: a word for it just before, a plus (next to another number the base drops those), or a national layout. A card: Luhn, standing
+    as one group or in groups as cards are printed; one of 13 to 15 digits also starts as an issuer of that length does, or has a word for it
+    just before. An address: a dotted quad after a word for it. Against all speak a letter on either side, words for other things and
+    what cannot be (too many digits, a wrong checksum, a part of a dotted or dashed run).
     """
-    free = (d["left"] != 1) & (d["right"] != 1)
+    free, apart = (d["left"] != 1) & (d["right"] != 1), (d["left"] != 3) & (d["right"] != 3)
     if kind == "phone":
-        fits = (d["size"] < 4) & (d["layout"] != QUAD) & ~((d["card"] == 2) & (d["context"] != 1)) & (d["left"] != 3) & (d["right"] != 3)
-        return free & fits & ((d["context"] == 1) | ((d["lead"] == 1) & (d["size"] > 0)) | ((d["layout"] == NATIONAL) & (d["context"] == 0)))
-    if kind == "card":
-        whole = (d["lead"] == 0) & d["layout"].isin(ONE_GROUP, GROUPED)
-        short = ((d["card"] == 2) & ~d["context"].isin(1, 4)) | ((d["card"] == 1) & (d["context"] == 2))
-        return free & whole & F.when(d["size"] == 4, d["card"] == 2).otherwise(short)
-    return free & (d["layout"] == QUAD) & (d["context"] == 3) & (d["left"] != 3) & (d["right"] != 3)
+        can = free & apart & (d["size"] < 4) & (d["layout"] != QUAD) & ~((d["card"] == 2) & (d["context"] != 1))
+        yes = (d["context"] == 1) | ((d["lead"] == 1) & (d["size"] > 0)) | ((d["layout"] == NATIONAL) & (d["context"] == 0))
+    elif kind == "card":
+        can = free & (d["lead"] == 0) & (d["card"] > 0) & ((d["size"] == 4) | ~d["context"].isin(1, 4))
+        whole = d["layout"].isin(ONE_GROUP, GROUPED)
+        yes = whole & ((d["card"] == 2) | (d["context"] == 2))
+    else:
+        can = free & apart & (d["layout"] == QUAD)
+        yes = d["context"] == 3
+    other = ~d["context"].isin(0, {"phone": 1, "card": 2, "ip": 3}[kind])
+    return F.when(~can, NO).when(yes, YES).when(other, NO).otherwise(UNKNOWN)
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """The rows with `__base`, and `__candidates`: array<struct<kind,start,end,cell,label,open,rank>>; open ones are not base spans."""
-    none = "array<struct<kind:int,start:int,end:int,cell:string,label:boolean,open:boolean,rank:int>>"
+    """The rows with `__base`, `__fold` and `__candidates`: array<struct<kind,start,end,cell,label,open,rank>>; open ones are not base spans."""
+    none = "array<struct<kind:int,start:int,end:int,cell:string,label:int,open:boolean,rank:int>>"
     docs = docs.withColumn("__base", F.concat(*[_of_kind(i, f"__{k}") for i, k in enumerate(KINDS)]))
     docs = docs.withColumn("__masked", _masked(F.coalesce(F.col("text"), F.lit(""))))
     text = F.col("__masked")
@@ -271,83 +290,119 @@ def with_candidates(docs: DataFrame) -> DataFrame:
             told,
             lambda d: F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), d["start"].alias("start"), d["end"].alias("end"), cell(kind, d).alias("cell"),
-                (F.lit(True) if base else evident(kind, d)).alias("label"), F.lit(not base).alias("open"), _rank(kind, d).alias("rank"),
+                (F.lit(YES) if base else evidence(kind, d)).alias("label"), F.lit(not base).alias("open"), _rank(kind, d).alias("rank"),
             ),
         )
         return F.when(F.size(source) > 0, own).otherwise(F.array()).cast(none)
 
     def mails(source: str, open_: bool) -> Column:
-        """Mail addresses have two features: whether they are written out, and whether they end as a domain does (the evidence)."""
-        ends = lambda m: m["value"].rlike(r"[\])}.]\x20?[A-Za-z]{2,}$")
-        own = F.transform(
-            source,
-            lambda m: F.struct(
-                F.lit(0).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.concat(F.lit(f"0,{int(open_)},"), ends(m).cast("int").cast("string"), F.lit(",0,0,0,0,0")).alias("cell"),
-                (ends(m) if open_ else F.lit(True)).alias("label"), F.lit(open_).alias("open"), F.lit(1000 * RANKS.index("email")).alias("rank"),
-            ),
-        )
-        return F.when(F.size(source) > 0, own).otherwise(F.array()).cast(none)
+        """Of mail addresses: whether they are written out, how their domain ends (known, letters, else), their numbers of labels and signs, and words before."""
+
+        def told(m: Column) -> Column:
+            last = F.lower(F.regexp_extract(m["value"], r"([A-Za-z0-9-]+)$", 1))
+            ends = F.when(last.isin(*DOMAINS), 2).when(last.rlike("^[a-z]{2,}$"), 1).otherwise(0)
+            word = m["before"].rlike(MAIL_WORDS).cast("int")
+            shape = [ends, bucket(F.regexp_count(m["value"], F.lit(r"[\])}.]\x20?[A-Za-z0-9-]+")), (2, 3, 4)), F.regexp_count(m["value"], F.lit(r"\x20")).cast("int"), m["before"].rlike(TOUCH_LEFT).cast("int"), m["after"].rlike(TOUCH_RIGHT).cast("int")]
+            label = F.when(ends == 2, YES).when((ends == 1) & (word == 1), YES).when(ends == 0, NO).otherwise(UNKNOWN) if open_ else F.lit(YES)
+            spot = F.concat_ws(",", F.lit(f"0,{int(open_)}"), *[x.cast("string") for x in shape], F.lit("0,0"), word.cast("string"))
+            return F.struct(F.lit(0).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), spot.alias("cell"), label.alias("label"), F.lit(open_).alias("open"), F.lit(1000 * RANKS.index("email")).alias("rank"))
+
+        return F.when(F.size(source) > 0, F.transform(source, told)).otherwise(F.array()).cast(none)
 
     numbers = ("ip", "card", "phone")
     proposed = F.concat(mails("__email", False), mails("__mails", True), *[propose(f"__{k}", k) for k in numbers], *[propose("__numbers", k) for k in numbers])
+    docs = docs.withColumn("__fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
     return docs.withColumn("__candidates", proposed).drop("__runs", "__numbers", "__mails", "__masked")
 
 
-def boost(cells: list[tuple[tuple[int, ...], float, float]]) -> list[float]:
-    """Scores (log-odds) of cells (features, count, positives) by boosted trees of depth DEPTH on the logistic loss."""
-    x = np.array([c[0] for c in cells])
+def boost(cells: list[tuple[tuple[int, ...], float, float]], asked: list[tuple[int, ...]] | None = None) -> list[float]:
+    """Scores (log-odds) by boosted trees of depth DEPTH on the logistic loss, fitted on cells (features, count, positives), of the cells asked for (else their own)."""
+    asked = [c[0] for c in cells] if asked is None else asked
+    if not cells or not asked:
+        return [0.0] * len(asked)
+    x, want = np.array([c[0] for c in cells]), np.array(asked)
     n, positive = np.array([c[1] for c in cells]), np.array([c[2] for c in cells])
-    scores = np.zeros(len(cells))
+    scores, out = np.zeros(len(x)), np.zeros(len(want))
 
-    def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> None:
+    def grow(rows: np.ndarray, there: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int) -> None:
         total_g, total_h = g[rows].sum(), h[rows].sum()
         top, cut = 1e-9, None
         for j in range(x.shape[1] if depth else 0):
             own = x[rows, j]
             ga, ha = np.cumsum(np.bincount(own, g[rows]))[:-1], np.cumsum(np.bincount(own, h[rows]))[:-1]
-            there = np.bincount(own)[:-1] > 0
-            gain = np.where(there, ga**2 / (ha + RIDGE) + (total_g - ga) ** 2 / (total_h - ha + RIDGE) - total_g**2 / (total_h + RIDGE), 0)
+            seen = np.bincount(own)[:-1] > 0
+            gain = np.where(seen, ga**2 / (ha + RIDGE) + (total_g - ga) ** 2 / (total_h - ha + RIDGE) - total_g**2 / (total_h + RIDGE), 0)
             if len(gain) and gain.max() > top:
                 top, cut = gain.max(), (j, int(gain.argmax()))
         if cut is None:
-            scores[rows] += RATE * total_g / (total_h + RIDGE)
+            step = RATE * total_g / (total_h + RIDGE)
+            scores[rows] += step
+            out[there] += step
             return
-        low = x[rows, cut[0]] <= cut[1]
-        grow(rows[low], g, h, depth - 1)
-        grow(rows[~low], g, h, depth - 1)
+        low, below = x[rows, cut[0]] <= cut[1], want[there, cut[0]] <= cut[1]
+        grow(rows[low], there[below], g, h, depth - 1)
+        grow(rows[~low], there[~below], g, h, depth - 1)
 
-    for _ in range(ROUNDS if len(cells) else 0):
+    for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-scores))
-        grow(np.arange(len(cells)), positive - n * p, n * p * (1 - p), DEPTH)
-    return scores.tolist()
+        grow(np.arange(len(x)), np.arange(len(want)), positive - n * p, n * p * (1 - p), DEPTH)
+    return out.tolist()
+
+
+def _hidden(x: tuple[int, ...]) -> tuple[int, ...]:
+    return (*x[:-1], 0)
+
+
+def _learnt(rows: list) -> list[tuple[tuple[int, ...], float, float]]:
+    """Labelled cells as they are and with their context hidden."""
+    sums: dict[tuple[int, ...], list[float]] = {}
+    for x, _, label, n, _ in rows:
+        if label != UNKNOWN:
+            for y in {x, _hidden(x)}:
+                own = sums.setdefault(y, [0.0, 0.0])
+                own[0] += n
+                own[1] += n * label
+    return [(x, *own) for x, own in sorted(sums.items())]
+
+
+def _threshold(held: list[tuple[float, float, float]], precision: float, more: float) -> float:
+    """The least score from which on the held-out (score, count, positives) have the precision, counting `more` further errors."""
+    n = pos = 0.0
+    least = np.inf
+    held = sorted(held, reverse=True)
+    for i, (score, c, p) in enumerate(held):
+        n, pos = n + c, pos + p
+        # equal scores stand or fall together
+        if (i + 1 == len(held) or held[i + 1][0] < score) and pos >= precision * (n + more):
+            least = score
+    return least
 
 
 def accepted_cells(found: DataFrame, precision: float = PRECISION) -> list[str]:
-    """The cells whose score passes their kind's threshold; `found` has `__candidates`. Counts cover all rows.
+    """The cells whose score reaches their threshold; `found` has `__candidates` and `__fold`. Counts cover all rows.
 
-    The trees learn from base spans and open candidates; a threshold is calibrated on the open ones alone, as base spans stay anyway.
+    The trees learn from base spans and labelled open candidates; thresholds are calibrated on the open ones alone, as base spans stay anyway.
     """
-    open_ = F.col("c.open").cast("long")
-    label = F.col("c.label").cast("long")
-    rows = found.select(F.explode("__candidates").alias("c")).groupBy("c.cell").agg(F.count("*").alias("n"), F.sum(label).alias("pos"), F.sum(open_).alias("open"), F.sum(open_ * label).alias("good")).collect()
-    if len(rows) > CELLS:
-        raise ValueError(f"{len(rows)} cells; the features allow {CELLS}")
-    rows = sorted((tuple(map(int, r["cell"].split(","))), float(r["n"]), float(r["pos"]), r["open"], r["good"]) for r in rows)
-    scores = boost([r[:3] for r in rows])
+    counted = found.select("__fold", F.explode("__candidates").alias("c")).groupBy("c.cell", "__fold", "c.label").agg(F.count("*").alias("n"), F.count_if("c.open").alias("open"))
+    rows = sorted((tuple(map(int, r["cell"].split(","))), r["__fold"], r["label"], float(r["n"]), float(r["open"])) for r in counted.collect())
+    untold: dict[int, list] = {}
+    support: dict[tuple[int, ...], float] = {}
+    for fold in range(FOLDS):
+        own = [(_hidden(r[0]), r[2], r[4]) for r in rows if r[1] == fold and r[2] != UNKNOWN and r[4]]
+        for (x, label, n), score in zip(own, boost(_learnt([r for r in rows if r[1] != fold]), [x for x, _, _ in own]), strict=True):
+            untold.setdefault(x[0], []).append((score, n, n * label))
+            support[x] = support.get(x, 0.0) + n
+    learnt = _learnt(rows)
+    own = [r for r in rows if r[2] != UNKNOWN and r[4]]
+    told: dict[int, list] = {}
+    for (x, _, label, _, n), score in zip(own, boost(learnt, [r[0] for r in own]), strict=True):
+        told.setdefault(x[0], []).append((score, n, n * label))
+    limits = {(k, False): _threshold(held, precision, 0) for k, held in told.items()} | {(k, True): _threshold(held, precision, 2) for k, held in untold.items()}
+    asked = sorted({(r[0], r[2] == UNKNOWN) for r in rows if r[4] and r[2] != NO})  # no share of errors lets in what evidence speaks against
     out = []
-    for kind in {r[0][0] for r in rows}:
-        own = sorted(((s, x, n, good) for s, (x, _, _, n, good) in zip(scores, rows, strict=True) if x[0] == kind and n), reverse=True)
-        n = pos = 0
-        taken, held = [], []
-        for i, (s, x, c, p) in enumerate(own):
-            n, pos = n + c, pos + p
-            held.append(x)
-            if i + 1 < len(own) and own[i + 1][0] == s:
-                continue  # equal scores stand or fall together
-            if pos >= precision * n:
-                taken += held
-                held = []
-        out += [",".join(map(str, x)) for x in taken]
+    for (x, unknown), score in zip(asked, boost(learnt, [x for x, _ in asked]), strict=True):
+        if score >= limits.get((x[0], unknown), np.inf) and (not unknown or support.get(x, 0) >= SUPPORT):
+            out.append(",".join(map(str, x)))
     return sorted(out)
 
 
@@ -378,7 +433,7 @@ def with_spans(found: DataFrame, accepted: list[str]) -> DataFrame:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", precision: float = PRECISION) -> DataFrame:
     """(doc_id, base, spans) per row; the text is read once, and only spans and cells are kept for the second pass."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(with_candidates(with_base(rows)).select("doc_id", "__base", "__candidates"), "candidates")
+    found = materialize(with_candidates(with_base(rows)).select("doc_id", "__base", "__fold", "__candidates"), "candidates")
     return with_spans(found, accepted_cells(found, precision)).select("doc_id", F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 

@@ -148,6 +148,35 @@ def test_evidence_finds_what_the_base_rule_does_not(docs, common):
     assert out[len(rows) - 1] == [("card", 18, 34), ("phone", 0, 17)]
 
 
+@pytest.mark.parametrize("genuine, decoys", [(200, 2), (60, 60), (20, 200), (3, 20)])
+def test_precision_and_recall_of_added_spans(docs, genuine, decoys):
+    """Written-out mails, phones without plus and spaced cards beside look-alikes, at several ratios."""
+    rng = random.Random(genuine)
+    number = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, want = [], []
+
+    def plant(before, span, after, kind):
+        rows.append(f"{name()} {before}{span}{after} {name()}")
+        want.append([(kind, 7 + len(before), 7 + len(before) + len(span))] if kind else [])
+
+    for _ in range(genuine):
+        plant("", f"{name()} [at] {name()} [dot] com", "", "email")
+        plant("tel ", f"555 {number(3)} {number(4)}", "", "phone")
+        plant("seen ", "4111 1111 1111 1111", f" {number(4)}x", "card")
+    for _ in range(decoys):
+        plant("", f"{name()} [at] {name()} [dot] 4x", "", None)
+        plant("order ", f"{number(4)} {number(4)}", "", None)
+        plant("isbn ", f"978{number(10)}", "", None)
+    plant("", "note [at] home [dot] now", "", None)
+    bare = len(rows)
+    plant("", f"555 {number(3)} {number(4)}", "", "phone")  # no word before: its shape alone
+    out = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_spans(docs(rows)).collect()}
+    wrong = [(rows[i], out[i]) for i in range(bare) if out[i] != want[i]]
+    assert not wrong, wrong[:5]
+    assert out[bare] == (want[bare] if genuine >= 200 else [])  # taken once enough held-out phones of that shape are seen
+
+
 def test_redaction(docs):
     long = "x" * (pii.CHUNK - 5) + " a@b.example.com and +1 (234) 555-1234\n" + "y" * 9000 + " 1.2.3.4"
     frame = docs([long, "keep é", None, "4111111111111111", "a@b.co"])
