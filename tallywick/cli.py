@@ -60,11 +60,19 @@ def parser() -> argparse.ArgumentParser:
     add("recommend", ("--k", int, 10), ("--max-history", int, 30))
     sub.choices["recommend"].add_argument("--visitor-id", type=int, required=True)
     add("run", ("--speed", float, 0.0), *paging, ("--vector-size", int, 256))
+    curation = ("--speed", float, 0.0), *paging, ("--vector-size", int, 256), ("--feature-retention", int, 5), *similarity
+    modeling = ("--target", str, "transaction"), ("--test-days", int, 14), ("--validation-days", int, 14), ("--k", int, 10)
+    add("curate", *curation)
+    add("model", *modeling, ("--vector-size", int, 256), *similarity)
+    add("full", *curation, *modeling)
+    add("show-metrics")
     return p
 
 
 def execute(flow: Flow, a: argparse.Namespace) -> object:
     features = lambda: {"neighbors": a.neighbors, "min_cooccurrence": a.min_cooccurrence, "max_history": a.max_history}
+    curation = lambda: {"vector_size": a.vector_size, "feature_retention": a.feature_retention, "speed": a.speed, "limit": a.limit, "page_size": a.api_page_size} | features()
+    modeling = lambda: {"target": a.target, "test_days": a.test_days, "validation_days": a.validation_days, "vector_size": a.vector_size, "k": a.k} | features()
     rows = lambda d: [r.asDict() for r in d.collect()]
     match a.command:
         case "stage-landing":
@@ -119,7 +127,7 @@ def execute(flow: Flow, a: argparse.Namespace) -> object:
         case "train-models":
             return flow.train_models(a.max_history, a.min_cooccurrence, a.neighbors)
         case "evaluate-models":
-            return flow.evaluate_models(a.k)
+            return {"config": {"k": a.k, "weights": flow.weights()}, "scores": flow.evaluate_models(a.k)}
         case "build-content-model":
             return flow.build_content_model(a.vector_size)
         case "tune-hybrid":
@@ -130,6 +138,14 @@ def execute(flow: Flow, a: argparse.Namespace) -> object:
         case "run":
             bronze = flow.build_bronze(a.source, a.landing, speed=a.speed, limit=a.limit, page_size=a.api_page_size)
             return bronze | flow.transform(a.vector_size)
+        case "curate":
+            return flow.curate(a.source, a.landing, **curation())
+        case "model":
+            return flow.model(**modeling())
+        case "full":
+            return flow.full(a.source, a.landing, curation(), modeling())
+        case "show-metrics":
+            return flow.lineage.metrics()
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -14,6 +14,9 @@ from .similarity import MAX_HISTORY, MIN_COOCCURRENCE, NEIGHBORS, train_similari
 from .split import available_items, histories, novel_targets, popularity
 
 
+METRICS = ("evaluated_users", "precision", "recall", "ndcg", "hit_rate", "catalog_coverage", "distinct_items", "fallback_users")
+
+
 def user_metrics(recommended: DataFrame, targets: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per visitor (and key): hits, precision, recall and ndcg at k; visitors without recommendations have zeros."""
     if k <= 0:
@@ -30,19 +33,21 @@ def user_metrics(recommended: DataFrame, targets: DataFrame, k: int, keys: tuple
 
 
 def metrics(recommended: DataFrame, targets: DataFrame, history: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """(model, segment, evaluated_users, precision, recall, ndcg, hit_rate, catalog_coverage, distinct_items); `recommended` has a model column.
+    """(model, segment, evaluated_users, precision, recall, ndcg, hit_rate, catalog_coverage, distinct_items, fallback_users); `recommended` has a model column.
 
-    Segments: all visitors, those with training history (warm), and the others (cold).
+    fallback_users are those whose own list was short, where `recommended` tells (else 0). Segments: all visitors, those with training history (warm), and the others (cold).
     """
     warm = history.select("visitor_id").distinct().withColumn("warm", F.lit(True))
     segment = F.explode(F.array(F.lit("all"), F.when(F.coalesce("warm", F.lit(False)), F.lit("warm")).otherwise(F.lit("cold")))).alias("segment")
     per = user_metrics(recommended, targets, k, ("model",)).join(warm, "visitor_id", "left").select("*", segment)
     scores = per.groupBy("model", "segment").agg(F.count("*").alias("evaluated_users"), *[F.avg(c).alias(c) for c in ("precision", "recall", "ndcg")], F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate"))
     asked = targets.select("visitor_id").distinct()
-    shown = recommended.where(F.col("rank") <= k).join(asked, "visitor_id", "left_semi").join(warm, "visitor_id", "left").select("model", "item_id", segment).groupBy("model", "segment").agg(F.count_distinct("item_id").alias("distinct_items"))
+    shown = recommended.where(F.col("rank") <= k).join(asked, "visitor_id", "left_semi").join(warm, "visitor_id", "left")
+    short = F.col("fallback") if "fallback" in recommended.columns else F.lit(False)
+    shown = shown.select("model", "item_id", segment, F.when(short, F.col("visitor_id")).alias("short")).groupBy("model", "segment").agg(F.count_distinct("item_id").alias("distinct_items"), F.count_distinct("short").alias("fallback_users"))
     total = available_items(items).agg(F.count("*").alias("available"))
     out = scores.join(shown, ["model", "segment"], "left").crossJoin(F.broadcast(total))  # one row
-    return out.select("model", "segment", "evaluated_users", "precision", "recall", "ndcg", "hit_rate", ratio(F.col("distinct_items"), F.col("available")).alias("catalog_coverage"), F.coalesce("distinct_items", F.lit(0)).alias("distinct_items"))
+    return out.select("model", "segment", "evaluated_users", "precision", "recall", "ndcg", "hit_rate", ratio(F.col("distinct_items"), F.col("available")).alias("catalog_coverage"), F.coalesce("distinct_items", F.lit(0)).alias("distinct_items"), F.coalesce("fallback_users", F.lit(0)).alias("fallback_users"))
 
 
 def lift(scores: DataFrame, baseline: str = "weighted_popularity") -> DataFrame:
@@ -119,7 +124,7 @@ def tune(events: DataFrame, items: DataFrame, vectors: DataFrame, final_cutoff:
 
 
 def serve(visitors: DataFrame, gold: DataFrame, items: DataFrame, similar: DataFrame, vectors: DataFrame | None, popular: DataFrame, k: int = 10, max_history: int = MAX_HISTORY, weights: dict[str, float] | None = None) -> DataFrame:
-    """(visitor_id, rank, item_id, score, sources, category_id, parent_category_id, model) for many visitors at once.
+    """(visitor_id, rank, item_id, score, sources, category_id, parent_category_id, model, history_items_used, fallback_used, content_model_loaded, weights) for many visitors at once.
 
     History is the latest max_history items of the whole timeline; items from the fallback score 0.
     """
@@ -139,6 +144,8 @@ def serve(visitors: DataFrame, gold: DataFrame, items: DataFrame, similar: DataF
         name = "item_cf_content_hybrid"
     fused = stage(R.fuse(cf, content, w["item_cf_weight"], w["content_weight"], w["rrf_constant"]))
     out = R.with_fallback(R.top(fused, k), visitors, history, listed, k)
-    known = history.select("visitor_id").distinct().withColumn("known", F.lit(True))
-    out = out.join(fused, ["visitor_id", "item_id"], "left").join(items.select("item_id", "category_id", "parent_category_id"), "item_id", "left").join(known, "visitor_id", "left")
-    return out.select("visitor_id", "rank", "item_id", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")).alias("score"), F.when(F.col("fallback"), F.array(F.lit("popularity"))).otherwise(F.col("sources")).alias("sources"), "category_id", "parent_category_id", F.when(F.col("known"), F.lit(name)).otherwise(F.lit("weighted_popularity_fallback")).alias("model"))
+    known = history.groupBy("visitor_id").agg(F.count("*").alias("used"))
+    filled = out.groupBy("visitor_id").agg(F.bool_or("fallback").alias("fallback_used"))
+    loaded, config = F.lit(vectors is not None).alias("content_model_loaded"), F.struct(*[F.lit(float(w[c])).alias(c) for c in HYBRID_WEIGHTS]).alias("weights")
+    out = out.join(fused, ["visitor_id", "item_id"], "left").join(items.select("item_id", "category_id", "parent_category_id"), "item_id", "left").join(known, "visitor_id", "left").join(filled, "visitor_id")
+    return out.select("visitor_id", "rank", "item_id", F.when(F.col("fallback"), 0.0).otherwise(F.col("score")).alias("score"), F.when(F.col("fallback"), F.array(F.lit("popularity"))).otherwise(F.col("sources")).alias("sources"), "category_id", "parent_category_id", F.when(F.col("used").isNotNull(), F.lit(name)).otherwise(F.lit("weighted_popularity_fallback")).alias("model"), F.coalesce("used", F.lit(0)).alias("history_items_used"), "fallback_used", loaded, config)

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, NumericType
 
 from ..schemas import CHECKED_SCHEMAS, WEIGHTS
 
@@ -112,17 +113,31 @@ def expectations(tables: Mapping[str, DataFrame], wanted: tuple[Expectation, ...
     return reduce(DataFrame.unionByName, parts).withColumn("success", F.col("unexpected_count") == 0)
 
 
-def column_profile(rows: DataFrame, numeric: list[str], other: list[str] = ()) -> DataFrame:
-    """(column, missing, distinct, minimum, maximum, mean) from one scan; numbers only have the last three."""
+def column_profile(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, dtype, missing, distinct, minimum, maximum, mean) from one scan; numbers only have the last three. Maps are counted by their entries."""
     wanted = []
-    for c in [*numeric, *other]:
-        d = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
-        wanted.append(F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing"), F.count_distinct(F.col(c)).alias("distinct"), F.min(d).alias("minimum"), F.max(d).alias("maximum"), F.avg(d).alias("mean")))
+    for field in rows.schema.fields:
+        if columns is not None and field.name not in columns:
+            continue
+        c = F.col(f"`{field.name}`")
+        value = F.sort_array(F.map_entries(c)) if isinstance(field.dataType, MapType) else c
+        number = c.cast("double") if isinstance(field.dataType, NumericType) else F.lit(None).cast("double")
+        wanted.append(F.struct(F.lit(field.name).alias("column"), F.lit(field.dataType.simpleString()).alias("dtype"), F.count_if(c.isNull()).alias("missing"), F.count_distinct(value).alias("distinct"), F.min(number).alias("minimum"), F.max(number).alias("maximum"), F.avg(number).alias("mean")))
     return rows.agg(F.array(*wanted).alias("all")).select(F.explode("all").alias("c")).select("c.*")
 
 
+def table_profile(full: DataFrame, sampled: DataFrame) -> dict:
+    """Sizes of a table and its sample, repeated rows and missing cells of the sample, and its columns."""
+    plain = [F.sort_array(F.map_entries(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in sampled.schema.fields]
+    columns = [r.asDict() for r in column_profile(sampled).collect()]
+    n, different = sampled.count(), sampled.select(*plain).distinct().count()
+    return {"full_row_count": full.count(), "sample_row_count": n, "sample_duplicate_rows": n - different, "sample_missing_values": sum(c["missing"] for c in columns), "columns": columns}
+
+
 def sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The first n rows in key order, so that reruns profile the same rows."""
+    if n < 1:
+        raise ValueError("a sample has at least one row")
     return rows.orderBy(*keys).limit(n)
 
 

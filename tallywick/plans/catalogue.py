@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import json
+import shutil
+import tempfile
+import threading
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +21,9 @@ from ..operators import quality as Q
 from ..operators import recommend as R
 from ..operators import similarity as S
 from ..operators import split as P
-from ..scratch import shared_dir
+from ..scratch import scratch_path, stage
+from ..sources import files, rest
+from ..sources.landing import land_sources
 from ..streaming.replay import replay, replayed_user_items
 from .oracles import with_ctes
 from .workspace import K, Workspace
@@ -130,7 +137,7 @@ def _popularity_metrics(w: Workspace) -> DataFrame:
 
 
 def _round_metrics(rows: DataFrame) -> DataFrame:
-    return longs(rounded(rows, "precision", "recall", "ndcg", "hit_rate", "catalog_coverage"), "evaluated_users", "distinct_items")
+    return longs(rounded(rows, "precision", "recall", "ndcg", "hit_rate", "catalog_coverage"), "evaluated_users", "distinct_items", "fallback_users")
 
 
 query("cf_candidates", "SELECT * FROM cf")(lambda w: longs(w.cf, "rank"))
@@ -150,15 +157,18 @@ query("lift_over_popularity", """SELECT m.model, m.segment, round(m."precision"
 )
 
 
-@query("tune_grid")
+@query("tune_grid", """SELECT trial, "precision", recall, ndcg, hit_rate, vector_weight, category_weight, parent_weight, item_cf_weight, content_weight,
+    row_number() OVER (ORDER BY ndcg DESC, recall DESC, "precision" DESC, abs(item_cf_weight - 0.5), trial) AS place FROM tuned JOIN trials USING (trial)""")
 def _tune(w: Workspace) -> DataFrame:
     s = w.split
-    return E.tune(w.silver, w.catalog, w.units, s.cutoff_ms, s.minimum_ms, days=7)
+    return longs(E.tune(w.silver, w.catalog, w.units, s.cutoff_ms, s.minimum_ms, days=7), "place")
 
 
-@query("serve_batch", """SELECT visitor_id, rank, item_id, score, sources, category_id, parent_category_id, 'item_cf_content_hybrid' AS model FROM served LEFT JOIN catalog USING (item_id)""")
+@query("serve_batch", """SELECT visitor_id, rank, item_id, score, sources, category_id, parent_category_id, CASE WHEN used IS NULL THEN 'weighted_popularity_fallback' ELSE 'item_cf_content_hybrid' END AS model,
+    coalesce(used, 0) AS history_items_used, fallback_used, (SELECT count(*) > 0 FROM units) AS content_model_loaded FROM served LEFT JOIN catalog USING (item_id) LEFT JOIN s_used USING (visitor_id) JOIN s_short USING (visitor_id)""")
 def _serve(w: Workspace) -> DataFrame:
-    out = E.serve(w.gold.select("visitor_id"), w.gold, w.catalog, w.similar, w.units, w.popular, K)
+    asked = w.gold.select("visitor_id").unionByName(w.spark.range(1).select(F.lit(-1).cast("long").alias("visitor_id")))
+    out = E.serve(asked, w.gold, w.catalog, w.similar, w.units, w.popular, K).drop("weights")
     return longs(out.withColumn("sources", F.array_join("sources", "+")), "rank")
 
 
@@ -175,7 +185,7 @@ query("dq_checks", """SELECT name, severity, violations, violations = 0 OR sever
     UNION ALL SELECT 'missing_property_values', 'critical', (SELECT count(*) FROM properties WHERE value IS NULL OR value = '')
     UNION ALL SELECT 'duplicate_gold_user_items', 'critical', (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM gold GROUP BY visitor_id, item_id))
     UNION ALL SELECT 'interaction_score_formula', 'critical', (SELECT count(*) FROM gold WHERE interaction_score <> view_count + 3 * cart_count + 5 * purchase_count)
-    UNION ALL SELECT 'missing_gold_vectors', 'critical', 0
+    UNION ALL SELECT 'missing_gold_vectors', 'critical', (SELECT count(*) FROM gold_items WHERE item_feature_vector IS NULL)
     UNION ALL SELECT 'bronze_to_silver_rejections', 'information', (SELECT count(*) FROM bronze_events) - (SELECT count(*) FROM silver))""")(lambda w: Q.violations(w.tables))
 query("dq_expectations", """SELECT dataset, expectation, "column", unexpected_count, unexpected_count = 0 AS success FROM (
     SELECT 'silver_user_events' AS dataset, 'not_null' AS expectation, 'visitor_id' AS "column", (SELECT count(*) FROM silver WHERE visitor_id IS NULL) AS unexpected_count
@@ -189,17 +199,101 @@ query("dq_expectations", """SELECT dataset, expectation, "column", unexpected_co
     UNION ALL SELECT 'gold_user_item_features', 'not_null', 'item_id', (SELECT count(*) FROM gold WHERE item_id IS NULL)
     UNION ALL SELECT 'gold_user_item_features', 'at_least', 'interaction_score', (SELECT count(*) FROM gold WHERE interaction_score < 1)
     UNION ALL SELECT 'gold_item_features', 'unique', 'item_id', (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM catalog GROUP BY item_id HAVING count(*) > 1))
-    UNION ALL SELECT 'gold_item_features', 'not_null', 'item_feature_vector', 0)""")(lambda w: Q.expectations(w.tables))
+    UNION ALL SELECT 'gold_item_features', 'not_null', 'item_feature_vector', (SELECT count(*) FROM gold_items WHERE item_feature_vector IS NULL))""")(lambda w: Q.expectations(w.tables))
 query("dq_duplicates", 'SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS violations FROM (SELECT count(*) AS n FROM bronze_events GROUP BY event, itemid HAVING count(*) > 1)')(lambda w: Q.duplicates(w.bronze_events, ["event", "itemid"]))
 @query("replay_user_items", "SELECT * FROM gold")
 def _replay(w: Workspace) -> DataFrame:
     """The events landed as files in time order, streamed batch by batch, and the aggregate of what arrived."""
-    base = f"{shared_dir(w.spark)}/replay-{uuid.uuid4().hex[:12]}"
+    base = scratch_path(w.spark, "replay")
     w.bronze_events.repartitionByRange(4, "timestamp").sortWithinPartitions("timestamp").write.csv(f"{base}/in", header=True)
     replay(w.spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return replayed_user_items(w.spark, f"{base}/out")
 
 
+def _csv(w: Workspace, rows: DataFrame, label: str, ragged: bool = False) -> str:
+    """The rows as one header CSV; ragged lines have bare commas in the last field."""
+    path = scratch_path(w.spark, label)
+    if ragged:
+        lines = rows.select(F.concat_ws(",", *[F.col(c).cast("string") for c in rows.columns]).alias("value"))
+        head = w.spark.createDataFrame([(",".join(rows.columns),)], "value string")
+        head.unionByName(lines).coalesce(1).write.text(path)
+    else:
+        rows.coalesce(1).write.csv(path, header=True)
+    return path
+
+
+def _ragged(w: Workspace) -> DataFrame:
+    return w.bronze_item_properties.select("timestamp", "itemid", "property", F.concat("value", F.lit(", new,used")).alias("value"))
+
+
+_RAGGED = """SELECT "timestamp", itemid, property, value || ', new,used' AS value FROM properties"""
+query("source_events_csv", "SELECT * FROM bronze_events")(lambda w: files.read_events(w.spark, _csv(w, w.bronze_events, "events")))
+query("source_categories_csv", "SELECT category_id AS categoryid, parent_category_id AS parentid FROM hierarchy")(lambda w: files.read_categories(w.spark, _csv(w, w.bronze_category_tree, "categories")))
+query("source_ragged_properties", _RAGGED)(lambda w: files.read_properties(w.spark, [_csv(w, _ragged(w), "properties", ragged=True)]).drop("ingest_seq"))
+
+
+def _local_sources(w: Workspace) -> Path:
+    """The four source files on the driver's disk, written row by row."""
+    folder = Path(tempfile.mkdtemp(prefix="tallywick-sources-"))
+    atexit.register(shutil.rmtree, folder, True)
+    parts = _ragged(w).orderBy("itemid", "property").withColumn("part", F.col("itemid") % 2)
+    tables = {
+        "events.csv": w.bronze_events.orderBy("timestamp", "visitorid"), "category_tree.csv": w.bronze_category_tree.orderBy("categoryid"),
+        "item_properties_part1.csv": parts.where("part = 1").drop("part"), "item_properties_part2.csv": parts.where("part = 0").drop("part"),
+    }
+    for name, rows in tables.items():
+        with (folder / name).open("w", encoding="utf-8", newline="") as f:
+            f.write(",".join(rows.columns) + "\n")
+            f.writelines(",".join("" if v is None else str(v) for v in r) + "\n" for r in rows.toLocalIterator())
+    return folder
+
+
+@query("source_paged_properties", _RAGGED)
+def _paged(w: Workspace) -> DataFrame:
+    """Both property files, served in pages and read by the data source."""
+    folder = _local_sources(w)
+    server = rest.make_server([folder / f"item_properties_part{i}.csv" for i in (1, 2)])
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        return stage(rest.read_pages(w.spark, f"http://127.0.0.1:{server.server_port}", 1700).drop("ingest_seq"))
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query("source_landing", """SELECT 'clickstream' AS data_type, 'events.csv' AS filename, sha256('timestamp,visitorid,event,itemid,transactionid' || chr(10) ||
+      string_agg("timestamp" || ',' || visitorid || ',' || event || ',' || itemid || ',' || coalesce(CAST(transactionid AS VARCHAR), '') || chr(10), '' ORDER BY "timestamp", visitorid)) AS sha256, 2 AS landings FROM bronze_events
+    UNION ALL SELECT 'category_reference', 'category_tree.csv', sha256('categoryid,parentid' || chr(10) || string_agg(category_id || ',' || parent_category_id || chr(10), '' ORDER BY category_id)), 2 FROM hierarchy
+    UNION ALL SELECT 'product_metadata', 'item_properties_part' || (2 - itemid % 2) || '.csv', sha256('timestamp,itemid,property,value' || chr(10) || string_agg("timestamp" || ',' || itemid || ',' || property || ',' || value || ', new,used' || chr(10), '' ORDER BY itemid, property)), 2 FROM properties GROUP BY itemid % 2""")
+def _landing(w: Workspace) -> DataFrame:
+    """Landed twice: the same content lies in one place, and each run has a manifest."""
+    folder = _local_sources(w)
+    runs = [land_sources(folder, folder / "landing", "2026-07-21") for _ in range(2)]
+    records = [(r["data_type"], r["filename"], r["sha256"], r["landing_path"]) for run in runs for r in json.loads(run.manifest.read_text())["files"]]
+    rows = w.spark.createDataFrame(records, "data_type string, filename string, sha256 string, landing_path string")
+    return rows.groupBy("data_type", "filename", "sha256", "landing_path").agg(F.count("*").alias("landings")).drop("landing_path")
+
+
+@query("feature_retrieval", """SELECT 'latest' AS mode, visitor_id, total_events, 'v3' AS feature_version FROM activity WHERE visitor_id % 7 = 3
+    UNION ALL SELECT 'training', visitor_id, total_events, 'v2' FROM activity""")
+def _retrieval(w: Workspace) -> DataFrame:
+    """Three versions with two kept: the newest for some visitors, an older one whole."""
+    from ..operators.store import FeatureStore, Warehouse
+
+    house = Warehouse(w.spark, scratch_path(w.spark, "store"))
+    house.rebuild("feature_user_activity", L.user_activity(w.gold))
+    house.rebuild("feature_item_popularity", L.item_popularity(w.gold, w.catalog))
+    house.rebuild("feature_item_cooccurrence", S.train_similarity(w.gold, "last_interaction_timestamp"))
+    store = FeatureStore(house)
+    for version in ("v1", "v2", "v3"):
+        store.register(version, 2)
+    if {r["feature_version"] for r in store.registry()} != {"v2", "v3"}:
+        raise RuntimeError("two versions are kept")
+    wanted = w.gold.select("visitor_id").where("visitor_id % 7 = 3")
+    both = [store.online("user_activity", wanted).withColumn("mode", F.lit("latest")), store.training("user_activity", version="v2").withColumn("mode", F.lit("training"))]
+    return both[0].unionByName(both[1]).select("mode", "visitor_id", "total_events", "feature_version")
+
+
 @query("feature_store_latest", """SELECT 'user_activity' AS feature_view, 'user' AS entity, 'visitor_id' AS entity_key, 'v1' AS feature_version, (SELECT count(*) FROM activity) AS row_count
     UNION ALL SELECT 'item_popularity', 'item', 'item_id', 'v1', (SELECT count(*) FROM popularity_features)
     UNION ALL SELECT 'item_cooccurrence', 'item', 'source_item_id', 'v1', (SELECT count(*) FROM gold_neighbours)""")
@@ -207,7 +301,7 @@ def _store(w: Workspace) -> DataFrame:
     """Registers the three feature tables and lists the newest version of each view."""
     from ..operators.store import FeatureStore, Warehouse
 
-    house = Warehouse(w.spark, f"{shared_dir(w.spark)}/store-{uuid.uuid4().hex[:12]}")
+    house = Warehouse(w.spark, scratch_path(w.spark, "store"))
     house.rebuild("feature_user_activity", L.user_activity(w.gold))
     house.rebuild("feature_item_popularity", L.item_popularity(w.gold, w.catalog))
     house.rebuild("feature_item_cooccurrence", S.train_similarity(w.gold, "last_interaction_timestamp"))
@@ -225,10 +319,10 @@ query("dq_transaction_ids", "SELECT count(*) AS violations FROM silver WHERE (ev
     UNION ALL SELECT 'unique_products', (SELECT count(*) = count(DISTINCT item_id) FROM products)
     UNION ALL SELECT 'unique_user_items', (SELECT count(*) FROM (SELECT 1 FROM gold GROUP BY visitor_id, item_id HAVING count(*) > 1)) = 0
     UNION ALL SELECT 'scores_match', (SELECT count(*) FROM gold WHERE interaction_score <> view_count + 3 * cart_count + 5 * purchase_count) = 0
-    UNION ALL SELECT 'vectors_present', true UNION ALL SELECT 'feature_users_complete', (SELECT count(*) FROM activity) = (SELECT count(DISTINCT visitor_id) FROM gold)
+    UNION ALL SELECT 'vectors_present', (SELECT count(*) FROM gold_items WHERE item_feature_vector IS NULL) = 0 UNION ALL SELECT 'feature_users_complete', (SELECT count(*) FROM activity) = (SELECT count(DISTINCT visitor_id) FROM gold)
     UNION ALL SELECT 'feature_items_complete', (SELECT count(*) FROM popularity_features) = (SELECT count(*) FROM catalog)
     UNION ALL SELECT 'feature_scores_present', (SELECT count(*) FROM activity WHERE avg_interaction_score IS NULL) = 0
-    UNION ALL SELECT 'feature_cooccurrence_ranked', true""")
+    UNION ALL SELECT 'feature_cooccurrence_ranked', (SELECT count(*) FROM g_neighbours WHERE neighbor_rank < 1 OR similarity IS NULL) = 0""")
 def _validate(w: Workspace) -> DataFrame:
     features = {
         "feature_user_activity": L.user_activity(w.gold), "feature_item_popularity": L.item_popularity(w.gold, w.catalog),
@@ -237,9 +331,9 @@ def _validate(w: Workspace) -> DataFrame:
     return Q.validate(w.tables | features)
 
 
-query("column_profile", """SELECT 'view_count' AS "column", count(*) FILTER (view_count IS NULL) AS missing, count(DISTINCT view_count) AS "distinct", CAST(min(view_count) AS DOUBLE) AS minimum, CAST(max(view_count) AS DOUBLE) AS maximum, round(avg(view_count), 9) AS mean FROM gold
-    UNION ALL SELECT 'interaction_score', count(*) FILTER (interaction_score IS NULL), count(DISTINCT interaction_score), CAST(min(interaction_score) AS DOUBLE), CAST(max(interaction_score) AS DOUBLE), round(avg(interaction_score), 9) FROM gold
-    UNION ALL SELECT 'last_interaction_timestamp', count(*) FILTER (last_interaction_timestamp IS NULL), count(DISTINCT last_interaction_timestamp), NULL, NULL, NULL FROM gold""")(
-    lambda w: rounded(Q.column_profile(w.gold, ["view_count", "interaction_score"], ["last_interaction_timestamp"]), "mean", digits=9)
+_PROFILED = ("view_count", "interaction_score", "last_interaction_timestamp")
+query("column_profile", " UNION ALL ".join(f"""SELECT '{c}' AS "column", replace(lower(any_value(typeof({c}))), 'varchar', 'string') AS dtype, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS "distinct",
+    min(TRY_CAST({c} AS DOUBLE)) AS minimum, max(TRY_CAST({c} AS DOUBLE)) AS maximum, round(avg(TRY_CAST({c} AS DOUBLE)), 9) AS mean FROM gold""" for c in _PROFILED))(
+    lambda w: rounded(Q.column_profile(w.gold, list(_PROFILED)), "mean", digits=9)
 )
 query("rrf_terms", "SELECT visitor_id, item_id, round(0.6::DOUBLE / (20.0::DOUBLE + rank), 9) AS term FROM cf")(lambda w: w.cf.select("visitor_id", "item_id", F.round(rrf(0.6, F.col("rank"), 20.0), 9).alias("term")))

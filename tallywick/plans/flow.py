@@ -18,11 +18,11 @@ from ..operators import quality as Q
 from ..operators import recommend as R
 from ..operators import similarity as S
 from ..operators import split as P
-from ..operators.store import FeatureStore, Lineage, Warehouse
+from ..operators.store import RETENTION, FeatureStore, Lineage, Warehouse
 from ..schemas import CHECKED_SCHEMAS, HYBRID_WEIGHTS
 from ..sources import files, rest
 from ..sources.landing import land_sources
-from ..streaming.replay import replay
+from ..streaming.replay import land_in_order, replay
 
 MODEL_TABLES = ("model_split_metadata", "model_train_user_items", "model_test_targets", "model_popularity", "model_item_pair_stats", "model_item_similarity", "model_hybrid_config")
 
@@ -34,13 +34,17 @@ class Flow:
 
     # bronze
     def replay_events(self, path: str, speed: float = 0, limit: int | None = None) -> int:
-        """Batch read, or with a speed the same rows paced through a stream over the file's folder."""
-        if speed:
-            work = f"{self.w.root}/_replay/{uuid.uuid4().hex[:8]}"
-            folder = f"{work}/in"
-            files.read_events(self.spark, path, limit).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 5000).csv(folder, header=True)
-            replay(self.spark, folder, f"{work}/out", f"{work}/checkpoint", speed).awaitTermination()
-        return self.w.rebuild("bronze_events", files.read_events(self.spark, path, limit)).count()
+        """A batch read; with a speed the same rows in time order, paced through a stream whose batches make the table."""
+        rows = files.read_events(self.spark, path, limit)
+        if not speed:
+            return self.w.rebuild("bronze_events", rows).count()
+        work = f"{self.w.root}/_replay/{uuid.uuid4().hex[:8]}"
+        try:
+            land_in_order(rows, f"{work}/in")
+            replay(self.spark, f"{work}/in", f"{work}/out", f"{work}/checkpoint", speed, clean=False).awaitTermination()
+            return self.w.rebuild("bronze_events", self.spark.read.parquet(f"{work}/out").drop("batch")).count()
+        finally:
+            self.w.files.remove(work)
 
     def ingest_categories(self, path: str) -> int:
         return self.w.rebuild("bronze_category_tree", files.read_categories(self.spark, path)).count()
@@ -114,8 +118,7 @@ class Flow:
             sampled = tables | {n: Q.sample(tables[n], k, sample_rows) for n, k in keys.items()}
             expected = Q.expectations(sampled)
             summary = Q.overall(checks, expected, schemas) | {"schemas": schemas, "checks": [r.asDict() for r in checks.collect()], "expectations": [r.asDict() for r in expected.collect()]}
-            numeric = {"silver_user_events": ["visitor_id", "item_id", "event_timestamp_ms"], "silver_products": ["item_id", "category_id", "available"], "gold_user_item_features": ["visitor_id", "item_id", "interaction_score"], "gold_item_features": ["item_id", "category_id"]}
-            summary["profiles"] = {n: [r.asDict() for r in Q.column_profile(sampled[n], c).collect()] for n, c in numeric.items()}
+            summary["profiles"] = {n: Q.table_profile(tables[n], sampled[n]) for n in keys}
             text = Q.report(checks, expected, summary)
         for path, body in ((json_report, json.dumps(summary, indent=2, default=str)), (text_report, text)):
             Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -216,50 +219,69 @@ class Flow:
         return E.serve(visitors, self.w.read("gold_user_item_features"), self.w.read("gold_item_features"), self.w.read("model_item_similarity"), self._vectors(), self.w.read("model_popularity"), k, max_history, self.weights())
 
     # orchestration
-    def run(self, name: str, tasks: list[tuple[str, Callable[[], object], dict]], parameters: dict | None = None, wait: Callable[[float], None] = time.sleep) -> str:
-        """Runs tasks in order under a run record; a task's options are retries, delay (seconds) and records (lineage arguments)."""
+    def run(self, name: str, tasks: list[tuple[str, Callable[[], object], dict]], parameters: dict | None = None, wait: Callable[[float], None] = time.sleep) -> dict:
+        """The tasks' results by name, run in order under a run record; a task's options are retries, delay (seconds) and records (lineage arguments, or what makes them of its result)."""
         run_id = str(uuid.uuid4())
         self.lineage.start(run_id, name, parameters or {})
+        results: dict = {"run_id": run_id}
         try:
-            for _, task, options in tasks:
+            for task_name, task, options in tasks:
                 for attempt in range(options.get("retries", 0) + 1):
                     try:
-                        task()
+                        results[task_name] = task()
                         break
                     except Exception:
                         if attempt == options.get("retries", 0):
                             raise
                         wait(options.get("delay", 0))
-                for record in options.get("records", ()):
+                records = options.get("records", ())
+                for record in records(results[task_name]) if callable(records) else records:
                     self.lineage.record(run_id, *record)
         except Exception as e:
             self.lineage.finish(run_id, "FAILED", str(e))
             raise
         self.lineage.finish(run_id, "COMPLETED")
-        return run_id
+        return results
 
-    def curation_tasks(self, source: Path, landing: Path, **options) -> list[tuple[str, Callable[[], object], dict]]:
-        files_ = {n: Path(source) / n for n in ("events.csv", "category_tree.csv", "item_properties_part1.csv")}
+    def curation_tasks(self, source: Path, landing: Path, vector_size: int = L.VECTOR_SIZE, neighbors: int = S.NEIGHBORS, min_cooccurrence: int = S.MIN_COOCCURRENCE, max_history: int = S.MAX_HISTORY, feature_retention: int = RETENTION, **bronze) -> list[tuple[str, Callable[[], object], dict]]:
+        raw = [("bronze_events", "bronze", "scan", [], Path(source) / "events.csv"), ("bronze_category_tree", "bronze", "scan", [], Path(source) / "category_tree.csv")]
+        raw += [("bronze_item_properties", "bronze", "paged scan", [], Path(source) / f"item_properties_part{i}.csv") for i in (1, 2)]
+        registered = lambda result: [(v["source_table"], "feature_store", f"registered as {v['feature_view']} {v['feature_version']}", [v["source_table"]]) for v in result["feature_views"]]
         return [
-            ("bronze", lambda: self.build_bronze(source, landing, **options), {"retries": 1, "delay": 5, "records": [
-                ("bronze_events", "bronze", "scan", [], files_["events.csv"]), ("bronze_category_tree", "bronze", "scan", [], files_["category_tree.csv"]), ("bronze_item_properties", "bronze", "paged scan", [], files_["item_properties_part1.csv"])]}),
+            ("bronze", lambda: self.build_bronze(source, landing, **bronze), {"retries": 1, "delay": 5, "records": raw}),
             ("silver", self.build_silver, {"records": [("silver_user_events", "silver", "clean", ["bronze_events"]), ("silver_products", "silver", "latest values", ["bronze_item_properties"]), ("silver_category_hierarchy", "silver", "rename", ["bronze_category_tree"])]}),
-            ("gold", self.build_gold, {"records": [("gold_user_item_features", "gold", "aggregate", ["silver_user_events"]), ("gold_item_features", "gold", "hashed vectors", ["silver_products", "silver_category_hierarchy"])]}),
-            ("features", self.build_features, {"records": [(n, "feature", "features", ["gold_user_item_features"]) for n in ("feature_user_activity", "feature_item_popularity", "feature_item_cooccurrence")]}),
-            ("validate", self._must_be_valid, {}),
-            ("register", lambda: self.store.register(), {}),
+            ("gold", lambda: self.build_gold(vector_size), {"records": [("gold_user_item_features", "gold", "aggregate", ["silver_user_events"]), ("gold_item_features", "gold", "hashed vectors", ["silver_products", "silver_category_hierarchy"])]}),
+            ("features", lambda: self.build_features(neighbors, min_cooccurrence, max_history), {"records": [(n, "feature", "features", ["gold_user_item_features"]) for n in ("feature_user_activity", "feature_item_popularity", "feature_item_cooccurrence")]}),
+            ("registry", lambda: self.store.register(retention=feature_retention), {"records": registered}),
+            ("validation", self._must_be_valid, {}),
         ]
 
-    def modeling_tasks(self, target: str = "transaction", test_days: int = 14) -> list[tuple[str, Callable[[], object], dict]]:
+    def modeling_tasks(self, target: str = "transaction", test_days: int = 14, validation_days: int = 14, vector_size: int = L.VECTOR_SIZE, k: int = 10, max_history: int = S.MAX_HISTORY, min_cooccurrence: int = S.MIN_COOCCURRENCE, neighbors: int = S.NEIGHBORS) -> list[tuple[str, Callable[[], object], dict]]:
+        near = max_history, min_cooccurrence, neighbors
         return [
             ("split", lambda: self.prepare_model_data(target, test_days), {"records": [("model_train_user_items", "model", "split", ["silver_user_events"]), ("model_test_targets", "model", "split", ["silver_user_events", "silver_products"])]}),
-            ("train", self.train_models, {"records": [("model_popularity", "model", "popularity", ["model_train_user_items"]), ("model_item_similarity", "model", "cosine", ["model_train_user_items"])]}),
-            ("content", self.build_content_model, {"records": [("model_content_vectors", "model", "unit vectors", ["gold_item_features"])]}),
-            ("tune", lambda: self.tune_hybrid(days=max(1, test_days // 2)), {"records": [("model_hybrid_config", "model", "grid", ["silver_user_events"])]}),
-            ("evaluate", self.evaluate_models, {}),
+            ("training", lambda: self.train_models(*near), {"records": [("model_popularity", "model", "popularity", ["model_train_user_items"]), ("model_item_similarity", "model", "cosine", ["model_train_user_items"])]}),
+            ("content", lambda: self.build_content_model(vector_size), {"records": [("model_content_vectors", "model", "unit vectors", ["gold_item_features"])]}),
+            ("tuning", lambda: self.tune_hybrid(validation_days, None, k, *near), {"records": [("model_hybrid_config", "model", "grid", ["silver_user_events"])]}),
+            ("evaluation", lambda: self.evaluate_models(k), {}),
         ]
 
-    def _must_be_valid(self) -> None:
+    def curate(self, source: Path, landing: Path, **options) -> dict:
+        return self.run("curation", self.curation_tasks(source, landing, **options), {"source": str(source)} | options)
+
+    def model(self, **options) -> dict:
+        """The modelling tasks; the numbers of each go to the run log."""
+        results = self.run("modeling", self.modeling_tasks(**options), options)
+        for name in ("split", "training", "content", "tuning"):
+            self.lineage.log_metrics(results["run_id"], name, options, results[name])
+        self.lineage.log_metrics(results["run_id"], "evaluation", options, {f"{r['model']}.{r['segment']}": {x: r[x] for x in E.METRICS} for r in results["evaluation"]})
+        return results
+
+    def full(self, source: Path, landing: Path, curation: dict | None = None, modeling: dict | None = None) -> dict:
+        return {"curation": self.curate(source, landing, **(curation or {})), "modeling": self.model(**(modeling or {}))}
+
+    def _must_be_valid(self) -> dict:
         result = self.validate()
         if not result["ok"]:
             raise RuntimeError("Validation failed: " + ", ".join(k for k, ok in result["checks"].items() if not ok))
+        return result

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..schemas import CONTENT_GRID, ITEM_CF_GRID
+
 # Each expression may use those above it.
 CTES: dict[str, str] = {
     "bronze_events": """SELECT epoch_us(ts) // 1000 AS "timestamp", user_id AS visitorid,
@@ -145,8 +147,19 @@ CTES: dict[str, str] = {
     "s_fused": """SELECT visitor_id, item_id, round(sum(s), 9) AS score, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM (
         SELECT visitor_id, item_id, 0.6::DOUBLE / (20.0::DOUBLE + rank) AS s, 'item_cf' AS source FROM s_cf
         UNION ALL SELECT visitor_id, item_id, 0.4::DOUBLE / (20.0::DOUBLE + rank), 'content' FROM s_content) GROUP BY 1, 2""",
-    "served": """SELECT visitor_id, item_id, score, sources, CAST(rank AS BIGINT) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY visitor_id ORDER BY score DESC, item_id) AS rank FROM s_fused) WHERE rank <= 10""",
+    "asked": "SELECT DISTINCT visitor_id FROM gold UNION SELECT -1",
+    "s_ranked": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY visitor_id ORDER BY score DESC, item_id) AS rank FROM s_fused) WHERE rank <= 10",
+    "s_lengths": "SELECT a.visitor_id, count(r.item_id) AS n FROM asked a LEFT JOIN s_ranked r ON r.visitor_id = a.visitor_id GROUP BY 1",
+    "s_filled": """SELECT visitor_id, item_id, n + i AS rank FROM (SELECT l.visitor_id, l.n, p.item_id, row_number() OVER (PARTITION BY l.visitor_id ORDER BY p.rank) AS i
+        FROM s_lengths l CROSS JOIN popular p WHERE l.n < 10 AND p.item_id IN (FROM available)
+        AND NOT EXISTS (SELECT 1 FROM s_history h WHERE h.visitor_id = l.visitor_id AND h.item_id = p.item_id)
+        AND NOT EXISTS (SELECT 1 FROM s_ranked r WHERE r.visitor_id = l.visitor_id AND r.item_id = p.item_id)) WHERE n + i <= 10""",
+    "served": """SELECT visitor_id, item_id, score, sources, CAST(rank AS BIGINT) AS rank, false AS filled FROM s_ranked
+        UNION ALL SELECT visitor_id, item_id, 0.0, 'popularity', CAST(rank AS BIGINT), true FROM s_filled""",
+    "s_used": "SELECT visitor_id, count(*) AS used FROM s_history GROUP BY 1",
+    "s_short": "SELECT visitor_id, bool_or(filled) AS fallback_used FROM served GROUP BY 1",
+    "gold_items": """SELECT item_id, coalesce(entries, MAP(CAST([] AS INTEGER[]), CAST([] AS DOUBLE[]))) AS item_feature_vector FROM catalog
+        LEFT JOIN (SELECT item_id, map_from_entries(list((bucket, value) ORDER BY bucket)) AS entries FROM vectors GROUP BY 1) USING (item_id)""",
     "models": "SELECT unnest(['weighted_popularity', 'item_collaborative_filtering', 'content_similarity', 'item_cf_content_hybrid']) AS model",
     "lengths": "SELECT m.model, v.visitor_id, count(r.item_id) AS n FROM models m CROSS JOIN visitors v LEFT JOIN ranked r ON r.model = m.model AND r.visitor_id = v.visitor_id GROUP BY 1, 2",
     "filled": """SELECT model, visitor_id, item_id, n + i AS rank FROM (SELECT l.model, l.visitor_id, l.n, p.item_id,
@@ -160,15 +173,52 @@ CTES: dict[str, str] = {
         coalesce(h.dcg, 0) / v.ideal AS ndcg, EXISTS (SELECT 1 FROM history x WHERE x.visitor_id = v.visitor_id) AS warm
         FROM models m CROSS JOIN relevant v LEFT JOIN hits h ON h.model = m.model AND h.visitor_id = v.visitor_id""",
     "segmented": "SELECT 'all' AS segment, * FROM per_user UNION ALL SELECT CASE WHEN warm THEN 'warm' ELSE 'cold' END, * FROM per_user",
-    "shown": """SELECT model, segment, count(DISTINCT item_id) AS distinct_items FROM (
-        SELECT model, item_id, unnest(['all', CASE WHEN EXISTS (SELECT 1 FROM history x WHERE x.visitor_id = r.visitor_id) THEN 'warm' ELSE 'cold' END]) AS segment FROM recommended r) GROUP BY 1, 2""",
+    "shown": """SELECT model, segment, count(DISTINCT item_id) AS distinct_items, count(DISTINCT short) AS fallback_users FROM (
+        SELECT model, item_id, CASE WHEN fallback AND model <> 'weighted_popularity' THEN visitor_id END AS short, unnest(['all', CASE WHEN EXISTS (SELECT 1 FROM history x WHERE x.visitor_id = r.visitor_id) THEN 'warm' ELSE 'cold' END]) AS segment FROM recommended r) GROUP BY 1, 2""",
     "metrics": """SELECT model, segment, count(*) AS evaluated_users, round(avg(precision_), 6) AS "precision", round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg,
         round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate,
-        round(any_value(distinct_items) / (SELECT count(*) FROM available)::DOUBLE, 6) AS catalog_coverage, CAST(any_value(distinct_items) AS BIGINT) AS distinct_items
+        round(any_value(distinct_items) / (SELECT count(*) FROM available)::DOUBLE, 6) AS catalog_coverage, CAST(any_value(distinct_items) AS BIGINT) AS distinct_items, CAST(any_value(fallback_users) AS BIGINT) AS fallback_users
         FROM segmented JOIN shown USING (model, segment) GROUP BY 1, 2""",
 }
 
 
+def derived(prefix: str, names: str, instead: dict[str, str]) -> None:
+    """Add the expressions of these names again, with a prefix, over each other and over what stands instead of some."""
+    own = names.split()
+    other = instead | {n: prefix + n for n in own}
+    for name in own:
+        CTES[prefix + name] = re.sub(r"\b(FROM|JOIN|,)(\s+)(\w+)\b", lambda m: m[1] + m[2] + other.get(m[3], m[3]), CTES[name])
+
+
+# the feature layer's neighbours, from the whole timeline
+derived("g_", "pairs norms directed neighbours", {"train": "gold", "capped": "gold_capped"})
+# tuning: the same chain over a window of seven days before the cutoff
+CTES["t_bounds"] = "SELECT cutoff_ms - 7 * 86400000 AS cutoff_ms, cutoff_ms AS end_ms FROM bounds"
+derived("t_", "train popular", {"bounds": "t_bounds"})
+CTES["t_targets"] = """SELECT DISTINCT e.visitor_id, e.item_id FROM silver e, t_bounds WHERE event_timestamp_ms >= cutoff_ms AND event_timestamp_ms < end_ms
+        AND event_type = 'transaction' AND e.item_id IN (FROM available) AND e.visitor_id IN (SELECT visitor_id FROM t_train)
+        AND NOT EXISTS (SELECT 1 FROM t_train t WHERE t.visitor_id = e.visitor_id AND t.item_id = e.item_id)"""
+derived("t_", "visitors history capped pairs norms directed neighbours cf summed profile known category_share parent_share cosines content_dense relevant", {"train": "t_train", "targets": "t_targets"})
+CTES |= {
+    "grids": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{x}::DOUBLE' for x in w)})" for i, w in enumerate(CONTENT_GRID)) + ") AS g(grid, vector_weight, category_weight, parent_weight)",
+    "mixes": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {w}::DOUBLE, {round(1 - w, 10)}::DOUBLE)" for i, w in enumerate(ITEM_CF_GRID)) + ") AS m(mix, item_cf_weight, content_weight)",
+    "trials": f"SELECT *, grid * {len(ITEM_CF_GRID)} + mix AS trial FROM grids CROSS JOIN mixes",
+    "t_content": """SELECT * FROM (SELECT grid, visitor_id, item_id, row_number() OVER (PARTITION BY grid, visitor_id ORDER BY score DESC, item_id) AS content_rank FROM (
+        SELECT grid, visitor_id, item_id, round(vector_weight * cosine + category_weight * category + parent_weight * parent, 9) AS score FROM t_content_dense CROSS JOIN grids)) WHERE content_rank <= 100""",
+    "t_lists": "SELECT * FROM t_content FULL JOIN (SELECT grid, visitor_id, item_id, rank AS cf_rank FROM t_cf CROSS JOIN grids) USING (grid, visitor_id, item_id)",
+    "t_ranked": """SELECT * FROM (SELECT trial, visitor_id, item_id, row_number() OVER (PARTITION BY trial, visitor_id ORDER BY score DESC, item_id) AS rank FROM (
+        SELECT trial, visitor_id, item_id, round(coalesce(item_cf_weight / (20.0::DOUBLE + cf_rank), 0) + coalesce(content_weight / (20.0::DOUBLE + content_rank), 0), 9) AS score FROM t_lists JOIN trials USING (grid))) WHERE rank <= 10""",
+    "t_lengths": "SELECT m.trial, v.visitor_id, count(r.item_id) AS n FROM trials m CROSS JOIN t_visitors v LEFT JOIN t_ranked r ON r.trial = m.trial AND r.visitor_id = v.visitor_id GROUP BY 1, 2",
+    "t_filled": """SELECT trial, visitor_id, item_id, n + i AS rank FROM (SELECT l.trial, l.visitor_id, l.n, p.item_id, row_number() OVER (PARTITION BY l.trial, l.visitor_id ORDER BY p.rank) AS i
+        FROM t_lengths l CROSS JOIN t_popular p WHERE l.n < 10 AND NOT EXISTS (SELECT 1 FROM t_history h WHERE h.visitor_id = l.visitor_id AND h.item_id = p.item_id)
+        AND NOT EXISTS (SELECT 1 FROM t_ranked r WHERE r.trial = l.trial AND r.visitor_id = l.visitor_id AND r.item_id = p.item_id)) WHERE n + i <= 10""",
+    "t_hits": "SELECT trial, visitor_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT trial, visitor_id, item_id, rank FROM t_ranked UNION ALL SELECT trial, visitor_id, item_id, rank FROM t_filled) JOIN t_targets USING (visitor_id, item_id) GROUP BY 1, 2",
+    "tuned": """SELECT m.trial, round(avg(coalesce(hits, 0) / 10.0::DOUBLE), 9) AS "precision", round(avg(coalesce(hits, 0) / v.relevant::DOUBLE), 9) AS recall, round(avg(coalesce(dcg, 0) / v.ideal), 9) AS ndcg,
+        round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS hit_rate
+        FROM trials m CROSS JOIN t_relevant v LEFT JOIN t_hits h ON h.trial = m.trial AND h.visitor_id = v.visitor_id GROUP BY 1""",
+}
+
+
 def with_ctes(final: str, *names: str) -> str:
     """`final` after the expressions it needs: those named and all they may use."""
     wanted: set[str] = set()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Event types with their weights, targets, model defaults.
 WEIGHTS = {"view": 1, "addtocart": 3, "transaction": 5}
 TARGET_EVENTS = {"transaction": ("transaction",), "high-intent": ("addtocart", "transaction")}
@@ -14,20 +12,15 @@ ITEM_CF_GRID = tuple(i / 10 for i in range(11))
 DAY_MS = 86_400_000
 
 
-def _schema(text: str) -> T.StructType:
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType()), "vector": T.MapType(T.IntegerType(), T.DoubleType()), "timestamp": T.TimestampType()}
-    return T.StructType([T.StructField(n, kinds[k.rstrip("?")], k.endswith("?")) for n, k in (x.split(":") for x in text.split())])
-
-
+#: DDL of the tables that are written by these types and checked by these ordered names (ingest_seq stands for the row order of the store).
 SCHEMAS = {
-    "bronze_events": _schema("timestamp:long? visitorid:long? event:string? itemid:long? transactionid:long?"),
-    "bronze_item_properties": _schema("timestamp:long? itemid:long? property:string? value:string? ingest_seq:long"),
-    "bronze_category_tree": _schema("categoryid:long? parentid:long?"),
-    "silver_user_events": _schema("event_timestamp:string visitor_id:long item_id:long event_type:string transaction_id:long? event_timestamp_ms:long"),
-    "silver_products": _schema("item_id:long category_id:long? available:long? encoded_properties:strings"),
-    "silver_category_hierarchy": _schema("category_id:long parent_category_id:long?"),
-    "gold_user_item_features": _schema("visitor_id:long item_id:long view_count:long cart_count:long purchase_count:long interaction_score:long last_interaction_timestamp:string"),
-    "gold_item_features": _schema("item_id:long category_id:long? parent_category_id:long? available:long? item_feature_vector:vector"),
+    "bronze_events": "timestamp bigint, visitorid bigint, event string, itemid bigint, transactionid bigint",
+    "bronze_item_properties": "timestamp bigint, itemid bigint, property string, value string, ingest_seq bigint",
+    "bronze_category_tree": "categoryid bigint, parentid bigint",
+    "silver_user_events": "event_timestamp string, visitor_id bigint, item_id bigint, event_type string, transaction_id bigint, event_timestamp_ms bigint",
+    "silver_products": "item_id bigint, category_id bigint, available bigint, encoded_properties array<string>",
+    "silver_category_hierarchy": "category_id bigint, parent_category_id bigint",
+    "gold_user_item_features": "visitor_id bigint, item_id bigint, view_count bigint, cart_count bigint, purchase_count bigint, interaction_score bigint, last_interaction_timestamp string",
+    "gold_item_features": "item_id bigint, category_id bigint, parent_category_id bigint, available bigint, item_feature_vector map<int,double>",
 }
-#: Schemas that the quality checks compare by ordered names (ingest_seq stands for the row order of the store).
-CHECKED_SCHEMAS = {k: [f.name for f in v.fields] for k, v in SCHEMAS.items()}
+CHECKED_SCHEMAS = {name: [column.split()[0] for column in ddl.split(", ")] for name, ddl in SCHEMAS.items()}

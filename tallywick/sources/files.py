@@ -16,27 +16,37 @@ PROPERTY_HEADER = ["timestamp", "itemid", "property", "value"]
 
 
 def read_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A header CSV; blank transaction ids are null and malformed rows fail."""
+    """A header CSV; blank transaction ids are null and malformed rows fail. A limit takes the first rows of the file."""
     rows = spark.read.schema(EVENTS).csv(path, header=True, mode="FAILFAST", nullValue="", enforceSchema=False)
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    return rows.orderBy("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).limit(limit)  # the splits' order is that of the file
 
 
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CATEGORIES).csv(path, header=True, mode="FAILFAST", nullValue="", enforceSchema=False)
 
 
-def parse_properties(text: str, name: str = "<text>") -> Iterator[tuple[str, str, str, str]]:
-    """Rows of an item-property CSV: the last column takes every further field, commas included."""
-    lines = csv.reader(io.StringIO(text.removeprefix("﻿"), newline=""))
-    header = next(lines, None)
+def property_rows(lines: Iterator[str], name: str = "<text>") -> Iterator[tuple[str, str, str, str]]:
+    """Rows of an item-property CSV from its lines: the last column takes every further field, commas included."""
+    records = csv.reader(lines)
+    header = next(records, None)
     if header is None:
         raise ValueError(f"Empty item-property CSV: {name}")
-    if header != PROPERTY_HEADER:
+    if [header[0].removeprefix("\ufeff"), *header[1:]] != PROPERTY_HEADER:
         raise ValueError(f"Unexpected header in {name}: {header!r}; expected {PROPERTY_HEADER!r}")
-    for number, fields in enumerate(lines, 2):
-        if len(fields) < len(PROPERTY_HEADER):
-            raise ValueError(f"Malformed item-property row in {name} at line {number}: expected at least 4 fields, found {len(fields)}")
-        yield (*fields[:3], ",".join(fields[3:]))
+    for number, fields in enumerate(records, 2):
+        yield property_row(fields, name, number)
+
+
+def property_row(fields: list[str], name: str, number: int) -> tuple[str, str, str, str]:
+    if len(fields) < len(PROPERTY_HEADER):
+        raise ValueError(f"Malformed item-property row in {name} at line {number}: expected at least 4 fields, found {len(fields)}")
+    return (*fields[:3], ",".join(fields[3:]))
+
+
+def parse_properties(text: str, name: str = "<text>") -> Iterator[tuple[str, str, str, str]]:
+    return property_rows(io.StringIO(text, newline=""), name)
 
 
 def read_properties(spark: SparkSession, paths: list[str]) -> DataFrame:

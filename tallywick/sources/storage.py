@@ -45,3 +45,10 @@ class Storage:
         if not self.exists(path):
             return []
         return sorted(s.getPath().getName() for s in self._fs(path).listStatus(self._path(path)) if s.isDirectory())
+
+    def listed(self, path: str, ending: str) -> list[str]:
+        """Names of the files in a folder that end so, in order."""
+        return sorted(n for n in (s.getPath().getName() for s in self._fs(path).listStatus(self._path(path)) if s.isFile()) if n.endswith(ending))
+
+    def set_time(self, path: str, ms: int) -> None:
+        self._fs(path).setTimes(self._path(path), ms, -1)

@@ -1,4 +1,4 @@
-"""Replay of landed events as a stream into the cleaned layer, and incremental aggregates (an extension)."""
+"""Replay of landed events as a stream, into the raw or the cleaned layer."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.layers import clean_events, user_items
 from ..sources.files import EVENTS
+from ..sources.storage import Storage
 
 BATCH = 5_000
 LONGEST_PAUSE = 1.0
@@ -26,13 +27,19 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
     return spark.readStream.schema(EVENTS).option("header", True).option("nullValue", "").option("maxFilesPerTrigger", files_per_batch).csv(folder)
 
 
-def replay(spark: SparkSession, folder: str, table: str, checkpoint: str, speed: float = 0.0) -> StreamingQuery:
-    """Runs through all files of a folder in micro-batches."""
-    return replay_stream(event_stream(spark, folder), table, checkpoint, speed)
+def land_in_order(events: DataFrame, folder: str, rows: int = BATCH) -> None:
+    """CSV files of at most so many events in time order: ranges of time are sorted in parallel, and the files' times follow their names, by which a stream takes them."""
+    events.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.option("maxRecordsPerFile", rows).csv(folder, header=True)
+    storage = Storage(events.sparkSession)
+    for i, name in enumerate(storage.listed(folder, ".csv")):
+        storage.set_time(f"{folder}/{name}", 1_000_000_000_000 + 1000 * i)
 
 
-def replay_stream(stream: DataFrame, table: str, checkpoint: str, speed: float = 0.0) -> StreamingQuery:
-    """Each batch of raw events is cleaned and written under its number, so a repeated batch replaces itself."""
+def replay(spark: SparkSession, folder: str, table: str, checkpoint: str, speed: float = 0.0, clean: bool = True) -> StreamingQuery:
+    """Runs through all files of a folder in micro-batches, in the order of their times.
+
+    Each batch is written under its number, cleaned or as it came, so a repeated batch replaces itself.
+    """
     last: dict[str, int | None] = {"ms": None}
 
     def write(batch: DataFrame, number: int) -> None:
@@ -41,21 +48,9 @@ def replay_stream(stream: DataFrame, table: str, checkpoint: str, speed: float =
             if low is not None:
                 time.sleep(pause(last["ms"], low, speed))
                 last["ms"] = high
-        clean_events(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def deduplicated(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Extension: events with an event time and watermark, exact repeats within it dropped."""
-    timed = clean_events(stream).withColumn("event_time", F.timestamp_millis("event_timestamp_ms"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["visitor_id", "item_id", "event_type", "event_timestamp_ms", "transaction_id"])
-
+        (clean_events(batch) if clean else batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-def hourly_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Extension: events by hour and type, final once the watermark has passed."""
-    timed = clean_events(stream).withColumn("event_time", F.timestamp_millis("event_timestamp_ms")).withWatermark("event_time", delay)
-    return timed.groupBy(F.window("event_time", "1 hour").alias("hour"), "event_type").agg(F.count("*").alias("events"))
+    return event_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def replayed_user_items(spark: SparkSession, table: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tallywick.operators import split as P
 from tallywick.plans.flow import Flow
 from tallywick.sources import files, rest
 from tallywick.sources.landing import land_sources
-from tallywick.streaming.replay import pause, replay, replayed_user_items
+from tallywick.streaming.replay import event_stream, land_in_order, pause, replay, replayed_user_items
 
 EVENTS = "timestamp,visitorid,event,itemid,transactionid\n1000,1,view,10,\n2000,1,addtocart,10,\n3000,1,transaction,10,99\n4000,2,invalid,10,\n"
 PROPERTIES = "timestamp,itemid,property,value\n1000,10,categoryid,7\n1000,10,available,0\n2000,10,available,1\n1000,10,400,n1\n"
@@ -143,10 +143,9 @@ def test_features(spark, world):
     gold = L.user_items(events.where("event_timestamp_ms < 1400"))
     users = {r["visitor_id"]: r for r in L.user_activity(gold).collect()}
     assert len(users) == 2 and users[1]["avg_interaction_score"] == 3.0
-    for spread in (False, True):
-        ranks = {r["item_id"]: r for r in L.item_popularity(gold, items, spread).collect()}
-        assert ranks[20]["popularity_rank"] == 1 and ranks[20]["avg_interaction_score"] == 5.0 and ranks[30]["total_interaction_score"] == 0
-        assert sorted(r["popularity_rank"] for r in ranks.values()) == [1, 2, 3]
+    ranks = {r["item_id"]: r for r in L.item_popularity(gold, items).collect()}
+    assert ranks[20]["popularity_rank"] == 1 and ranks[20]["avg_interaction_score"] == 5.0 and ranks[30]["total_interaction_score"] == 0
+    assert sorted(r["popularity_rank"] for r in ranks.values()) == [1, 2, 3]
 
 
 def test_history_cap_breaks_ties_by_item(spark):
@@ -168,6 +167,8 @@ def test_serving(spark, content_world):
     asked = spark.createDataFrame([(1,), (999,)], "visitor_id long")
     out = {(r["visitor_id"], r["rank"]): r for r in E.serve(asked, gold, items, similar, units, popular, 1).collect()}
     assert out[1, 1]["item_id"] == 20 and out[1, 1]["sources"] == ["content"]
+    assert out[1, 1]["history_items_used"] == 1 and not out[1, 1]["fallback_used"] and out[1, 1]["content_model_loaded"] and out[1, 1]["weights"]["rrf_constant"] == 20.0
+    assert out[999, 1]["history_items_used"] == 0 and out[999, 1]["fallback_used"]
     assert out[999, 1]["item_id"] == 30 and out[999, 1]["sources"] == ["popularity"] and out[999, 1]["model"] == "weighted_popularity_fallback" and out[999, 1]["score"] == 0.0
     with pytest.raises(ValueError):
         R.content_candidates(gold, items, units, 10, -1.0, 1.0, 1.0)
@@ -182,6 +183,45 @@ def test_tuning(spark, content_world):
     assert len(trials) == 55 and trials[0]["precision"] == 1.0 and trials[0]["item_cf_weight"] == 0.5
 
 
+def test_blocks_of_the_catalog_give_the_same_list(spark, content_world, monkeypatch):
+    """Scores by plain loops, and the same from many blocks and slices."""
+    import math
+
+    import numpy as np
+    from tallywick.operators import scoring
+
+    rng = np.random.default_rng(1)
+    items = [(i, int(rng.integers(0, 5)) if i % 9 else None, int(rng.integers(0, 2)), int(i % 7 > 0)) for i in range(150)]
+    vectors = [(i, int(b), float(rng.normal())) for i in range(150) if i % 11 for b in rng.choice(40, 4, replace=False)]
+    history = [(v, int(i), float(rng.integers(1, 9))) for v in range(40) for i in rng.choice(150, v % 6, replace=False)]
+    tables = [spark.createDataFrame(history, "visitor_id long, item_id long, score double"), spark.createDataFrame(items, "item_id long, category_id long, parent_category_id long, available long"), spark.createDataFrame(vectors, "item_id long, bucket int, weight double")]
+    weights = [(0.8, 0.15, 0.05), (0.2, 0.5, 0.3)]
+    want = {}
+    for v in range(40):
+        own = {i: math.log1p(s) for u, i, s in history if u == v}
+        profile = np.zeros(40)
+        for i, b, w in vectors:
+            profile[b] += own.get(i, 0) * w
+        if not profile.any():
+            continue
+        profile /= np.linalg.norm(profile)
+        total = sum(own.values())
+        share = [{c: sum(w for i, w in own.items() if items[i][k] == c) / total for c in range(5)} for k in (1, 2)]
+        for g, (a, b, c) in enumerate(weights):
+            scored = []
+            for i, category, parent, there in items:
+                if there and i not in own:
+                    cosine = sum(profile[x] * w for j, x, w in vectors if j == i)
+                    scored.append((-round(a * cosine + b * share[0].get(category, 0) + c * share[1].get(parent, 0), 9), i))
+            want |= {(g, v, r): i for r, (_, i) in enumerate(sorted(scored)[:20], 1)}
+    for size in (16_384, 13):
+        monkeypatch.setattr(scoring, "ITEMS", size)
+        monkeypatch.setattr(scoring, "VISITORS", size)
+        monkeypatch.setattr(scoring, "CELLS", 100 * size)
+        got = {(r["grid"], r["visitor_id"], r["rank"]): r["item_id"] for r in R.content_grid(*tables, 20, weights).collect()}
+        assert got == want
+
+
 def test_zero_scores_come_before_negative_ones(spark, content_world):
     items, _, _, _ = content_world
     vectors = spark.createDataFrame([(10, 0, 1.0), (20, 0, -1.0)], "item_id long, bucket int, weight double")
@@ -227,6 +267,144 @@ def test_run_records_failure_and_retries(flow):
     assert len(calls) == 2 and [r["status"] for r in flow.lineage.runs().values()] == ["FAILED"]
 
 
+def test_pages_are_found_by_place(tmp_path, monkeypatch):
+    monkeypatch.setattr(rest, "STEP", 3)
+    rows = [(str(i), str(i % 5), "p", f"é{i},x" if i % 4 == 0 else f"two\nlines {i}" if i % 7 == 0 else str(i)) for i in range(25)]
+    line = lambda r: ",".join([*r[:3], '"' + r[3] + '"' if "\n" in r[3] else r[3]])
+    for name, part in (("a.csv", rows[:10]), ("b.csv", []), ("c.csv", rows[10:])):
+        (tmp_path / name).write_text("\ufeff" + HEADER + "".join(line(r) + "\r\n" for r in part), encoding="utf-8", newline="")
+    pages = rest.PropertyFiles([tmp_path / n for n in ("a.csv", "b.csv", "c.csv")])
+    for offset, size in ((20, 3), (0, 4), (4, 6), (10, 15), (24, 5), (30, 2), (7, 1), (0, 25), (3, 3)):
+        assert [tuple(r.values()) for r in pages.page(offset, size)] == rows[offset : offset + size], (offset, size)
+    assert len(pages.places) == 9
+
+
+def test_a_rebuild_keeps_the_version_that_is_read(flow, spark):
+    first = flow.w.rebuild("t", spark.range(3))
+    flow.w.rebuild("t", spark.range(5))
+    assert first.count() == 3 and flow.w.read("t").count() == 5
+    flow.w.rebuild("t", spark.range(7))
+    assert len([f for f in flow.w.files.folders(f"{flow.w.root}/t") if f.startswith("v-")]) == 2
+
+
+def test_paced_replay_makes_bronze(flow, source, tmp_path, spark):
+    flow.replay_events(str(source / "events.csv"))
+    batch = sorted(map(str, flow.w.read("bronze_events").collect()))
+    assert flow.replay_events(str(source / "events.csv"), speed=1e9) == 4
+    assert sorted(map(str, flow.w.read("bronze_events").collect())) == batch and not flow.w.files.folders(f"{flow.w.root}/_replay")
+    assert flow.replay_events(str(source / "events.csv"), limit=2) == 2 and [r["timestamp"] for r in flow.w.read("bronze_events").collect()] == [1000, 2000]
+    folder = str(tmp_path / "ordered")
+    land_in_order(spark.createDataFrame([(t, 1, "view", 1, None) for t in range(100, 0, -1)], files.EVENTS).repartition(5), folder, 7)
+    seen = []
+    event_stream(spark, folder).writeStream.foreachBatch(lambda d, n: seen.append(d.agg(F.min("timestamp")).first()[0])).trigger(availableNow=True).start().awaitTermination()
+    assert seen == sorted(seen) and len(seen) >= 15
+
+
+def test_profile_of_a_table(spark):
+    from tallywick.operators import quality as Q
+
+    rows = spark.createDataFrame([(1, "a", {1: 2.0}), (1, "a", {1: 2.0}), (None, "b", None)], "n long, t string, m map<int,double>")
+    out = Q.table_profile(rows, rows)
+    assert (out["full_row_count"], out["sample_duplicate_rows"], out["sample_missing_values"]) == (3, 1, 2)
+    assert [(c["column"], c["dtype"], c["missing"], c["distinct"], c["mean"]) for c in out["columns"]] == [("n", "bigint", 1, 1, 1.0), ("t", "string", 0, 2, None), ("m", "map<int,double>", 1, 1, None)]
+    with pytest.raises(ValueError):
+        Q.sample(rows, ["n"], 0)
+
+
+def test_hashed_tokens_are_those_of_the_digest(spark):
+    import hashlib
+
+    from tallywick.functions.scalar import blake2b_hash
+
+    tokens = ["", "a", "category:7", "parent_category:3", "400_n1", "é", "x" * 300, "available_1", "0", "\n"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", blake2b_hash(256)("t").alias("h")).collect()
+    for r in rows:
+        digest = hashlib.blake2b(r["t"].encode(), digest_size=8).digest()
+        assert (r["h"]["bucket"], r["h"]["sign"]) == (int.from_bytes(digest, "big") % 256, 1.0 if digest[0] % 2 else -1.0)
+    fixed = {r["t"]: (r["h"]["bucket"], r["h"]["sign"]) for r in rows}
+    assert hashlib.blake2b(b"", digest_size=8).hexdigest() == "e4a6a0577479b2b4" and fixed[""] == (0xB4, -1.0)
+
+
+@pytest.fixture
+def market(tmp_path):
+    """Sources on which every stage has something to do: 12 visitors, 8 items, 40 days."""
+    folder, day = tmp_path / "market", 86_400_000
+    folder.mkdir()
+    events = [(1 + day * (1 + (v * 5 + i) % 25), v, "view" if (v + i) % 3 else "addtocart", i, "") for v in range(12) for i in range(8) if (v * i) % 4 != 3]
+    events += [(day * (20 + (v + i) % 8), v, "transaction", i, 100 + v) for v in range(12) for i in range(8) if (v * i) % 4 == 3]
+    events += [(day * (36 + i % 4), v, "transaction", i, 200 + v) for v, i in ((1, 3), (2, 6), (3, 1), (5, 7), (7, 5), (20, 2))]
+    (folder / "events.csv").write_text("timestamp,visitorid,event,itemid,transactionid\n" + "".join(",".join(map(str, e)) + "\n" for e in events))
+    rows = [(1000, i, p, v) for i in range(8) for p, v in (("categoryid", i % 3), ("available", 1), ("color", f"n{i % 2}"))]
+    (folder / "item_properties_part1.csv").write_text(HEADER + "".join(",".join(map(str, r)) + "\n" for r in rows[:10]))
+    (folder / "item_properties_part2.csv").write_text(HEADER + "".join(",".join(map(str, r)) + "\n" for r in rows[10:]))
+    (folder / "category_tree.csv").write_text("categoryid,parentid\n0,\n1,0\n2,0\n")
+    return folder
+
+
+def test_flows_record_lineage_and_metrics(flow, market, tmp_path):
+    out = flow.full(market, tmp_path / "landing", {"vector_size": 16, "min_cooccurrence": 1, "page_size": 7}, {"vector_size": 16, "validation_days": 7, "min_cooccurrence": 1, "k": 3})
+    assert out["curation"]["bronze"]["properties"] == 24 and out["curation"]["validation"]["ok"] and out["modeling"]["tuning"]["configurations_tested"] == 55
+    assert {r["model"] for r in out["modeling"]["evaluation"]} == {"weighted_popularity", "item_collaborative_filtering", "content_similarity", "item_cf_content_hybrid"}
+    records = flow.lineage._rows("datasets")
+    layers = [r["layer"] for r in records if r["run_id"] == out["curation"]["run_id"]]
+    assert [layers.count(x) for x in ("bronze", "silver", "gold", "feature", "feature_store")] == [4, 3, 2, 3, 3]
+    assert [r["source_uri"].rsplit("/", 1)[1] for r in records if r["dataset_name"] == "bronze_item_properties"] == ["item_properties_part1.csv", "item_properties_part2.csv"]
+    assert [r["status"] for r in flow.lineage.runs().values()] == ["COMPLETED"] * 2
+    log = {r["name"]: r["metrics"] for r in flow.lineage.metrics()}
+    assert log["tuning"]["configurations_tested"] == 55.0 and 0 <= log["evaluation"]["item_cf_content_hybrid.all.ndcg"] <= 1
+    with pytest.raises(ValueError):
+        flow.model(target="clicks")
+    assert sorted(r["status"] for r in flow.lineage.runs().values()) == ["COMPLETED", "COMPLETED", "FAILED"]
+
+
+def test_command_line(spark, market, tmp_path, capsys, monkeypatch):
+    from tallywick import cli
+
+    monkeypatch.setattr(cli, "get_spark", lambda master=None: spark)
+    base = ["--warehouse", str(tmp_path / "w"), "--source", str(market), "--landing", str(tmp_path / "l")]
+
+    def run(*args):
+        code = cli.main([*base, *args])
+        return code, json.loads(capsys.readouterr().out)
+
+    assert run("stage-landing", "--ingestion-date", "2026-07-21")[0] == 0
+    assert run("replay-events", "--limit", "5") == (0, {"rows": 5}) and run("ingest-categories") == (0, {"rows": 3})
+    server = rest.make_server([market / f"item_properties_part{i}.csv" for i in (1, 2)])
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert run("ingest-products", "--api-url", f"http://127.0.0.1:{server.server_port}", "--api-page-size", "5") == (0, {"rows": 24})
+    finally:
+        server.shutdown()
+    assert run("build-bronze", "--api-page-size", "9")[1]["events"] > 80
+    assert set(run("build-silver")[1]) == {"silver_user_events", "silver_products", "silver_category_hierarchy"}
+    assert run("build-gold", "--vector-size", "16")[1]["gold_item_features"] == 8
+    assert run("build-features", "--min-cooccurrence", "1")[1]["feature_item_popularity"] == 8
+    assert run("transform", "--vector-size", "16", "--min-cooccurrence", "1")[1]["gold_item_features"] == 8
+    assert run("validate")[1]["ok"] and run("profile-gold", "--top", "3")[1]["size"]
+    code, report = run("quality-report", "--json-report", str(tmp_path / "q.json"), "--text-report", str(tmp_path / "q.md"))
+    assert code == 0 and len(report["profiles"]) == 4
+    assert len(run("register-features", "--version", "a")[1]["feature_views"]) == 3 and len(run("show-registry")[1]) == 3
+    assert run("get-features", "--view", "user_activity", "--id", "1", "2")[1]["rows"][0]["feature_version"] == "a"
+    assert run("get-features", "--view", "item_popularity", "--for", "training", "--version", "a")[0] == 0
+    assert len(run("profile-plots", "--out-dir", str(tmp_path / "eda"))[1]) == 6
+    assert run("evaluate", "--k", "3")[1][0]["model"] == "weighted_popularity"
+    assert run("prepare-model-data")[1]["eligible_users"] >= 1 and run("train-models", "--min-cooccurrence", "1")[0] == 0
+    assert run("build-content-model", "--vector-size", "16")[1]["items"] == 8
+    assert run("tune-hybrid", "--validation-days", "7", "--k", "3", "--min-cooccurrence", "1")[1]["configurations_tested"] == 55
+    scores = run("evaluate-models", "--k", "3")[1]
+    assert scores["config"]["k"] == 3 and len({r["model"] for r in scores["scores"]}) == 4
+    assert [r["rank"] for r in run("recommend", "--visitor-id", "20", "--k", "2")[1]] == [1, 2]
+    assert run("curate", "--api-page-size", "9", "--vector-size", "16", "--min-cooccurrence", "1")[1]["validation"]["ok"]
+    assert run("model", "--validation-days", "7", "--k", "3", "--min-cooccurrence", "1", "--vector-size", "16")[1]["split"]["target"] == "transaction"
+    assert len(run("show-lineage")[1]) >= 12 and len(run("show-metrics")[1]) == 5
+    (tmp_path / "w" / "gold_user_item_features" / "_current").unlink()
+    assert run("quality-report", "--json-report", str(tmp_path / "q.json"), "--text-report", str(tmp_path / "q.md"))[0] == 1
+    with pytest.raises(SystemExit):
+        cli.main([*base, "nothing"])
+    with pytest.raises(RuntimeError):
+        cli.main(["--warehouse", str(tmp_path / "none"), "build-silver"])
+
+
 def test_replay_equals_batch(spark, source, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
