@@ -6,8 +6,8 @@ candidate rules, and only those run their expressions. Rules that have no litera
 of every URL.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, is fitted by no
-rule and is allowed; repeated rows are judged alike; an empty table gives an empty table; other
-input columns are not read. The index is a parameter's size (at most MAX_RULES rules), never the data's.
+rule and is allowed; repeated rows are judged alike; an empty table gives an empty table; a very long URL is judged whole; of listed rules of equal length the greater by code point wins; other
+input columns are not read. The index is as large as the rules, which the caller holds, never as the data; it is broadcast once.
 """
 
 from __future__ import annotations
@@ -21,16 +21,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[0-9a-z]+")
-MAX_RULES = 200_000
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 # host/path rules, each with its verdict.
 HOST_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-# Further patterns of the method, by words of unwanted hosts: (pattern on host + path, literal tokens).
+# Words of unwanted hosts by topic; a host is unwanted where such a word stands between dots or hyphens.
+UNWANTED = {
+    "gambling": "casino poker roulette jackpot slots betting bets bookmaker sportsbook lottery",
+    "adult": "adult porn xxx sex nude escort escorts webcam hentai",
+    "pharmacy": "pills viagra cialis tramadol steroids",
+    "spam": "spam linkfarm clickbait doorway",
+    "advertising": "ads adserver adserv popads adclick banners tracker",
+    "piracy": "warez torrent torrents keygen cracked serials",
+    "loans": "payday fastcash",
+    "replicas": "replica replicas",
+}
+# Endings of paths that are no pages.
+FILES = "exe msi apk dmg iso zip rar 7z torrent"
+
+
+def word_pattern(word: str) -> tuple[str, tuple[str, ...]]:
+    return rf"^(?:[^/]*[.-])?{word}(?:[.-][^/]*)?(?:/|$)", (word,)
+
+
+# The method's own patterns on host + path, each with the literal tokens that a match holds.
 PATTERNS = (
-    (r"^(?:[^/]*[.-])?spam-[^/]*(?:/|$)", ("spam",)),
-    (r"^(?:[^/]*[.-])?(?:cheap|buy)-pills\.", ("pills",)),
-    (r"^(?:[^/]*[.-])?free-bets\.", ("free", "bets")),
+    *(word_pattern(w) for words in UNWANTED.values() for w in words.split()),
+    *((rf"/[^/]*\.{x}$", (x,)) for x in FILES.split()),
+    (r"^(?:[^/]*[.-])?free-(?:download|downloads)(?:[.-][^/]*)?(?:/|$)", ("free",)),
+    (r"/(?:cgi-bin|wp-admin)/[^/]*\.php$", ("php",)),
 )
 
 
@@ -88,8 +107,6 @@ def token_counts(urls: DataFrame, wanted: set[str]) -> dict[str, int]:
 
 class RuleIndex:
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; the index is sent to every task, so at most {MAX_RULES} are allowed")
         self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = {}
         self.always: list[tuple[Rule, re.Pattern]] = []
         for r in rules:
@@ -118,9 +135,11 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rules = default_rules() if rules is None else rules
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     index = RuleIndex(rules, token_counts(rows.select("url"), {t for r in rules for t in r.tokens}))
+    sent = pages.sparkSession.sparkContext.broadcast(index)
     kind = pa.schema([("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("n_candidates", pa.int64())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for u in b.column("url").to_pylist():

@@ -148,8 +148,21 @@ def test_rarest_token_is_the_key():
     index = U.RuleIndex(U.default_rules(), {"com": 100, "example": 5, "en": 50, "www": 2, "net": 9})
     assert {r.name for r, _ in index.by_token["www"]} == {"www.example.com/en/"} and {r.name for r, _ in index.by_token["example"]} == {"example.com/en/"}
     assert index.judge("b.net", "/xx/")[2] == 0
-    with pytest.raises(ValueError):
-        U.RuleIndex(U.default_rules() * U.MAX_RULES, {})
+
+
+def test_patterns_agree_with_running_all_of_them(spark):
+    rng = random.Random(6)
+    words = [w for x in U.UNWANTED.values() for w in x.split()] + ["sussex", "bet", "adsense", "free-download", "free", "download", "www", "cgi-bin", "a"]
+    urls = ["http://" + rng.choice([".", "-", ""]).join(rng.choice(words) for _ in range(rng.randint(1, 3))) + rng.choice([".org", ".info", "", "-x.org"]) + rng.choice(["", "/", "/a.zip", "/a.zip/b", "/wp-admin/x.php", "/EXE.exe", "/casino/"]) for _ in range(600)]
+    urls += ["http://casino-win.example.net/" + "x" * 100_000, "http://CASINO.org", "http://my.casino.org?x"] + ["http://spam.org/1"] * 3
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    out = {r["page_id"]: r for r in U.filter_urls(pages).collect()}
+    blocked = 0
+    for i, u in enumerate(urls):
+        host, path = U.split_url(u)
+        assert (out[i]["rule"], out[i]["verdict"]) == plain_verdict(host, path), u
+        blocked += out[i]["verdict"] == "block"
+    assert 100 < blocked < len(urls) and max(r["n_candidates"] for r in out.values()) <= 6
 
 
 def test_chat_round_trip(spark):
