@@ -309,6 +309,32 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
 
 
+def test_pipeline_edges(spark, docs, tmp_path):
+    """No rows; repeated rows, null ids and sources, a very long text and columns of clashing names through the whole run."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    body = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    texts = [body(80) for _ in range(12)]
+    rows = texts + [texts[0]] * 3 + [None, "", body(40_000), texts[1] + " tail@x.example.com"]
+    frame = docs(rows)
+    frame = frame.unionByName(frame.where("doc_id in (2, 3)")).unionByName(frame.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    frame = frame.withColumn("source", F.when(F.col("doc_id") % 4 > 0, F.col("source")))
+    for name, table in (("none", frame.limit(0)), ("some", frame)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    current = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        current = stage(spark, current, str(tmp_path / "some"))
+        assert current.columns == frame.columns
+        current.write.parquet(str(tmp_path / f"e{i}"))
+        current = spark.read.parquet(str(tmp_path / f"e{i}"))
+        if i == 1:
+            assert sorted(r["doc_id"] for r in current.collect()) == [*range(12), 17]
+    packed = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {*range(12), 17} and packed.count() > 12
+
+
 def test_op10_digest(spark, tmp_path):
     from tallywick.llm.queries import op10_pii
 
