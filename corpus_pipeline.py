@@ -1,4 +1,10 @@
-"""A corpus pipeline in five stages over `documents`; each stage's output is written and reread by the next."""
+"""A corpus pipeline in five stages over `documents`; each stage's output is written and reread by the next.
+
+Every stage but the last returns the columns of its input, further ones included, whatever their names; ids and texts may be null.
+An empty table passes through all stages empty. A null or empty text fails the quality rules. Repeated rows, as all documents
+whose sets of shingles agree or are near, are one document after the join: that of the smallest id, or a row without id where none has one.
+Texts are read whole, however long. The mix repeats a row as often as its source's target asks for, twice at most.
+"""
 
 from __future__ import annotations
 
