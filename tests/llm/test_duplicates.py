@@ -69,6 +69,23 @@ def test_join_equals_brute_force(docs, smallest, monkeypatch, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {i: (len(s), expect[i]) for i, s in enumerate(sets)}
 
 
+def test_join_of_very_long_texts_and_repeated_ids(docs, smallest):
+    rng = random.Random(21)
+    long_ = [f"w{rng.randint(0, 10**6)}" for _ in range(60_000)]
+    near = long_.copy()
+    for i in range(0, 60_000, 60):
+        near[i] = "other"
+    rows = [" ".join(long_), " ".join(near), " ".join(long_[:30_000]), "a b c d e f", "A B C D E F", " ".join(long_)]
+    sets = plain_sets(rows)
+    expect = smallest(range(len(rows)), links(sets))
+    frame = docs(rows)
+    frame = frame.unionByName(frame.where("doc_id in (2, 3)")).unionByName(frame.where("doc_id = 1").withColumn("doc_id", F.lit(4).cast("long")))
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame.repartition(3)).collect())
+    want = [(i, len(s), expect[i]) for i, s in enumerate(sets)]
+    want += [want[2], want[3], (4, len(sets[1]), expect[1])]
+    assert out == sorted(want)
+
+
 def test_members_of_one_group_are_verified(docs, smallest):
     """Sets of equal size whose rarest shingles agree: only links that hold count."""
     rng = random.Random(9)

@@ -72,6 +72,21 @@ def test_larger_budgets_take_supersets(docs):
         before = own
 
 
+def test_repeated_rows_are_mixed_and_searched_alike(docs):
+    frame = docs([("a b c " * n, "s") for n in range(1, 60)] + [("z " * 100_000, "t"), ("mail a@b.co", "t"), (None, None)])
+    twice = frame.unionByName(frame)
+    out = {}
+    for r in mixing.mix_sizes(twice.repartition(5)).collect():
+        out.setdefault(r["doc_id"], []).append((r["size"], r["source_size"], r["copies"]))
+    assert len(out) == 62 and all(len(x) == 2 and x[0] == x[1] for x in out.values())
+    assert sum(c for x in out.values() for _, _, c in x) == mixing.mix_documents(twice).count()
+    spans = {}
+    for r in pii.find_spans(twice).collect():
+        spans.setdefault(r["doc_id"], []).append(r["spans"])
+    assert all(len(x) == 2 and x[0] == x[1] for x in spans.values()) and len(spans[60][0]) == 1
+    assert sorted(r["text"] or "" for r in pii.redact(twice).where("doc_id >= 60").collect()) == ["", "", "mail [EMAIL]", "mail [EMAIL]"]
+
+
 def plain_spans(t):
     t, out = t or "", []
     kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))

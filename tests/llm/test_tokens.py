@@ -60,6 +60,22 @@ def test_packing(spark, docs, crc):
     assert len(batches) == len(out) and all(r["batch"] >= 0 for r in batches)
 
 
+def test_repeated_rows_are_packed_one_by_one(docs):
+    frame = docs(["one two three"] * 2 + [None, "x " * 30_000])
+    frame = frame.unionByName(frame.where("doc_id in (0, 3)"))
+    out = packing.pack_documents(frame.repartition(3)).collect()
+    ids = {i: x + [0] for i, x in enumerate(library(["one two three"] * 2 + ["", "x " * 30_000]))}
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    for i, own in by.items():
+        times = 2 if i in (0, 3) else 1
+        assert sum(r["length"] for r in own) == times * len(ids[i]) and all(r["doc_tokens"] == len(ids[i]) for r in own)
+        for r in own:
+            assert np.frombuffer(r["ids"], "<u4").tolist() == ids[i][r["start"] : r["start"] + r["length"]]
+    assert len({r["sequence_id"] for r in out}) == len(out)
+
+
 def test_records_round_trip(spark, docs, crc):
     rows = texts(300)
     path = common.scratch_path(spark, "t")
