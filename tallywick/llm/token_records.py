@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffer, tidy
@@ -112,20 +112,16 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary
         if records:
             yield pa.RecordBatch.from_pylist([{"shard": 0, "path": name, "records": records, "tokens": tokens, "low": low, "high": high}], pa.schema([("shard", pa.int64()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
-    # the partitions' order is that of the ids; which attempt of a task counts is known when its row arrives
+    # the partitions' order is that of the ids; which attempt of a task counts is settled when its row is committed
     manifest = rows.mapInArrow(tidy(write), MANIFEST).withColumn("shard", F.spark_partition_id().cast("long"))
-    found = sorted(manifest.collect(), key=lambda r: r["shard"])
-    spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(found)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) per record, read from the files; start counts the ids of all records before."""
-    shards = sorted(spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect(), key=lambda r: r["shard"])
-    base, jobs = 0, []
-    for r in shards:
-        jobs.append((r["path"], base))
-        base += r["tokens"]
-    listed = spark.createDataFrame(jobs, "path string, base long").repartition(max(1, len(jobs)))
+    shards = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    listed = shards.select("path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")).repartition(max(1, shards.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = fs.FileSystem.from_uri(path)
