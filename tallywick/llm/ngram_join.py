@@ -223,11 +223,11 @@ def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int)
     parts of about RUN nodes. The most central nodes (whose prefix is shared the most) come first. One
     that is similar to no leader so far becomes a leader, up to LEADERS.
     """
-    large = materialize(lists.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("token"), "large")
+    large = lists.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= LARGE).select("token")
     lists = lists.join(large, "token", "left_semi")
     chosen = lists.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "token"), "token"))["token"].alias("token"), (F.count("*") / F.min("n")).alias("central"))
     chosen = materialize(chosen, "chosen")
-    sizes = materialize(chosen.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    sizes = chosen.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     parts = chosen.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("size") / RUN)))
     keyed = materialize(parts.join(names, "node").select("doc_id", "null_hash", "node", F.xxhash64("token", "part").alias("key"), "central"), "keyed")
 
@@ -265,20 +265,17 @@ def leader_links(docs: DataFrame, lists: DataFrame, names: DataFrame, seed: int)
 
 def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     """(token, node, n, pos, c): the lists whose nodes are in different components under the links so far."""
-    labels = materialize(components(links), "labels")
-    named = lists.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = lists.join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     named = materialize(named, "named")
-    mixed = materialize(named.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token"), "mixed")
+    mixed = named.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("token")
     out = materialize(named.join(mixed, "token", "left_semi"), "open")
-    for old in (labels, named, mixed):
-        forget(lists.sparkSession, old)
+    forget(lists.sparkSession, named)
     return out
 
 
 def sized_lists(lists: DataFrame) -> DataFrame:
     """The open lists with their length k."""
-    sizes = materialize(lists.groupBy("token").agg(F.count("*").alias("k")), "sizes")
-    return materialize(lists.join(sizes, "token"), "sized")
+    return materialize(lists.join(lists.groupBy("token").agg(F.count("*").alias("k")), "token"), "sized")
 
 
 def open_pairs(lists: DataFrame) -> DataFrame:
@@ -308,7 +305,7 @@ def open_links(docs: DataFrame, lists: DataFrame, names: DataFrame) -> DataFrame
     spark = docs.sparkSession
     large = materialize(lists.where(F.col("k") >= MANY).select("token", "node", "c"), "large")
     sizes = large.groupBy("token", "c").agg(F.count("*").alias("k"))
-    major = materialize(sizes.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major")), "major")
+    major = sizes.groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major"))
     minor = materialize(large.join(major, "token").where("c <> major").select("token", "node", "c"), "minor")
     members = materialize(minor.select("node", "c").distinct(), "members")
     if not members.limit(1).count():

@@ -128,7 +128,9 @@ def test_null_ids_are_linked_and_one_is_kept(spark, monkeypatch):
     assert len(kept) == 5
 
 
-def test_components(spark, smallest):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_components(spark, smallest, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
     out = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
