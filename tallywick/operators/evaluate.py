@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dcg_discount, ratio, rrf
+from ..functions.scalar import dcg_discount, ratio
 from ..schemas import CONTENT_GRID, DAY_MS, HYBRID_WEIGHTS, ITEM_CF_GRID, TARGET_EVENTS
 from ..scratch import stage
 from . import recommend as R
 from .layers import global_rank, user_items
+from .scoring import trial_lists
 from .similarity import MAX_HISTORY, MIN_COOCCURRENCE, NEIGHBORS, train_similarity
 from .split import available_items, histories, novel_targets, popularity
 
@@ -17,8 +21,11 @@ from .split import available_items, histories, novel_targets, popularity
 METRICS = ("evaluated_users", "precision", "recall", "ndcg", "hit_rate", "catalog_coverage", "distinct_items", "fallback_users")
 
 
-def user_metrics(recommended: DataFrame, targets: DataFrame, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per visitor (and key): hits, precision, recall and ndcg at k; visitors without recommendations have zeros."""
+def user_metrics(recommended: DataFrame, targets: DataFrame, k: int, keys: tuple[str, ...] = (), models: DataFrame | None = None) -> DataFrame:
+    """Per visitor (and key): hits, precision, recall and ndcg at k; visitors without recommendations have zeros.
+
+    The keys are those of `models`, or else those that occur in `recommended`.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     wanted = targets.select("visitor_id", "item_id").distinct()
@@ -27,7 +34,7 @@ def user_metrics(recommended: DataFrame, targets: DataFrame, k: int, keys: tuple
     hits = recommended.where(F.col("rank") <= k).join(wanted, ["visitor_id", "item_id"], "left_semi").groupBy(*keys, "visitor_id").agg(F.count("*").alias("hits"), F.sum(dcg_discount(F.col("rank"))).alias("dcg"))
     base = relevant.withColumn("ideal", ideal)
     if keys:
-        base = base.crossJoin(F.broadcast(recommended.select(*keys).distinct()))  # models or trials: a handful of rows
+        base = base.crossJoin(F.broadcast((recommended if models is None else models).select(*keys).distinct()))  # models or trials: a handful of rows
     rows = base.join(hits, [*keys, "visitor_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return rows.select(*keys, "visitor_id", "relevant", "hits", (F.col("hits") / F.lit(float(k))).alias("precision"), ratio(F.col("hits"), F.col("relevant")).alias("recall"), ratio(F.coalesce("dcg", F.lit(0.0)), F.col("ideal")).alias("ndcg"))
 
@@ -102,19 +109,25 @@ def tune(events: DataFrame, items: DataFrame, vectors: DataFrame, final_cutoff:
     popular = popularity(train, items)
     similar = train_similarity(train, "last_interaction_timestamp_ms", max_history, min_cooccurrence, top)
     pool = R.pool_size(k)
-    cf = stage(R.cf_candidates(history, similar, items, pool).select("visitor_id", "item_id", F.col("rank").alias("cf_rank")))
-    content = R.content_grid(history, items, vectors, pool, CONTENT_GRID).select("grid", "visitor_id", "item_id", F.col("rank").alias("content_rank"))
-    grids = F.explode(F.sequence(F.lit(0), F.lit(len(CONTENT_GRID) - 1)))
-    merged = content.join(cf.withColumn("grid", grids), ["grid", "visitor_id", "item_id"], "full")
-    mixes = F.array(*[F.struct(F.lit(i).alias("mix"), F.lit(float(w)).alias("item_cf_weight"), F.lit(round(1 - w, 10)).alias("content_weight")) for i, w in enumerate(ITEM_CF_GRID)])
+    cf = R.cf_candidates(history, similar, items, pool).groupBy("visitor_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("cf"))
+    content = R.content_lists(history, items, vectors, pool, CONTENT_GRID).groupBy("visitor_id").agg(F.collect_list(F.struct("grid", "item", "score")).alias("x"))
+    content = content.select("visitor_id", *[F.flatten(F.col(f"x.{c}")).alias(c) for c in ("grid", "item", "score")])
+    wanted = targets.groupBy("visitor_id").agg(F.collect_set("item_id").alias("wanted"))
+    lists = wanted.join(stage(cf.select("visitor_id", F.col("cf.item_id").alias("cf"))), "visitor_id", "left").join(content, "visitor_id", "left")
+    mixes = [(float(w), round(1 - w, 10)) for w in ITEM_CF_GRID]
     constant = HYBRID_WEIGHTS["rrf_constant"]
-    part = lambda weight, rank: F.coalesce(rrf(F.col(weight), F.col(rank), constant), F.lit(0.0))
-    trials = merged.select("*", F.inline(mixes)).withColumn("trial", F.col("grid") * len(ITEM_CF_GRID) + F.col("mix"))
-    ranked = trials.withColumn("score", F.round(part("item_cf_weight", "cf_rank") + part("content_weight", "content_rank"), R.DIGITS))
-    ranked = stage(R.top(ranked, k, keys=("trial", "visitor_id")).select("trial", "visitor_id", "item_id", "rank"))
-    every = targets.select("visitor_id").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(len(CONTENT_GRID) * len(ITEM_CF_GRID) - 1))))
-    filled = R.with_fallback(ranked, every, history, popular, k, ("trial", "visitor_id"))
-    per = user_metrics(filled, targets, k, ("trial",))
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from trial_lists(pa.Table.from_batches([batch]), len(CONTENT_GRID), mixes, constant, pool, k).to_batches()
+
+    # of a list that needs no filling up only the hits are let out
+    ranked = stage(lists.mapInArrow(fuse, "trial int, visitor_id long, item_id long, rank int, short boolean"))
+    short = ranked.where("short")
+    every = short.select("trial", "visitor_id").distinct()
+    filled = R.with_fallback(short.where(F.col("item_id").isNotNull()), every, history, popular, k, ("trial", "visitor_id")).select("trial", "visitor_id", "item_id", "rank")
+    filled = filled.unionByName(ranked.where(~F.col("short")).select("trial", "visitor_id", "item_id", "rank"))
+    per = user_metrics(filled, targets, k, ("trial",), spark.range(len(CONTENT_GRID) * len(ITEM_CF_GRID)).select(F.col("id").cast("int").alias("trial")))
     scores = per.groupBy("trial").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "ndcg")], F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate"))
     named = [(i * len(ITEM_CF_GRID) + j, *w, float(c), round(1 - c, 10)) for i, w in enumerate(CONTENT_GRID) for j, c in enumerate(ITEM_CF_GRID)]
     named = spark.createDataFrame(named, "trial int, vector_weight double, category_weight double, parent_weight double, item_cf_weight double, content_weight double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import rrf
 from ..schemas import CONTENT_WEIGHTS, HYBRID_WEIGHTS
 from ..scratch import stage
-from .scoring import DIGITS, best_items
+from .scoring import DIGITS, best_lists
 from .split import available_items
 
 
@@ -64,14 +64,20 @@ def check_content_weights(*weights: float) -> None:
         raise ValueError("at least one content weight must be positive")
 
 
-def content_grid(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, weights: list[tuple[float, float, float]]) -> DataFrame:
-    """(grid, visitor_id, item_id, score, rank): the `pool` best available unseen items of each visitor with a profile, for each triple of weights."""
+def content_lists(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, weights: list[tuple[float, float, float]]) -> DataFrame:
+    """(visitor_id, grid, item, score), arrays: the `pool` best available unseen items of each visitor with a profile, for each triple of weights and block of the catalog."""
     for triple in weights:
         check_content_weights(*triple)
     open_items = items.where(F.col("available") == 1).select("item_id", "category_id", "parent_category_id")
     shares = [affinity(history, items, c) for c in ("category_id", "parent_category_id")]
-    found = best_items(content_profile(history, vectors), *shares, history, open_items, vectors, weights, pool)
-    return top(stage(found), pool, keys=("grid", "visitor_id"))
+    return best_lists(content_profile(history, vectors), *shares, history, open_items, vectors, weights, pool)
+
+
+def content_grid(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, weights: list[tuple[float, float, float]]) -> DataFrame:
+    """(grid, visitor_id, item_id, score, rank): the `pool` best available unseen items of each visitor with a profile, for each triple of weights."""
+    lists = stage(content_lists(history, items, vectors, pool, weights))
+    found = lists.select("visitor_id", F.explode(F.arrays_zip("grid", "item", "score")).alias("x")).select("x.grid", "visitor_id", F.col("x.item").alias("item_id"), "x.score")
+    return top(found, pool, keys=("grid", "visitor_id"))
 
 
 def content_candidates(history: DataFrame, items: DataFrame, vectors: DataFrame, pool: int, vector_weight: float = CONTENT_WEIGHTS["vector_weight"], category_weight: float = CONTENT_WEIGHTS["category_weight"], parent_weight: float = CONTENT_WEIGHTS["parent_weight"]) -> DataFrame:

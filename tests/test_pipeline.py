@@ -222,6 +222,96 @@ def test_blocks_of_the_catalog_give_the_same_list(spark, content_world, monkeypa
         assert got == want
 
 
+def test_few_pairs_are_scored_and_none_is_lost(monkeypatch):
+    """Copies of items, equal scores, seen copies and wholly seen classes: the lists of plain loops, from a small share of the pairs."""
+    import numpy as np
+    import pyarrow as pa
+    from tallywick.operators import scoring
+
+    rng = np.random.default_rng(2)
+    pairs = pa.list_(pa.struct([("k", pa.int64()), ("w", pa.float64())]))
+    vectors = [{int(b): float(rng.integers(-3, 4)) for b in rng.choice(64, rng.integers(0, 4), replace=False)} for _ in range(3000)]
+    vectors[5] = None
+    kinds = [(int(rng.integers(0, 6)) if c % 9 else None, int(rng.integers(0, 3)), vectors[c]) for c in range(3000)]
+    ids = rng.permutation(6500)
+    copies = [2 + (c % 50 == 0) * 9 if c < 2500 else 1 for c in range(3000)]
+    members = [sorted(int(i) for i in ids[sum(copies[:c]) : sum(copies[: c + 1])]) for c in range(3000)]
+    of = {i: c for c, own in enumerate(members) for i in own}
+    people = []
+    for v in range(40):
+        profile = {int(b): float(rng.normal()) for b in rng.choice(64, 1 + v % 9, replace=False)}
+        seen = {i for c in (0, 50, int(rng.integers(3000))) for i in members[c][: 1 + v % 12]} | {10_000}
+        people.append((profile, {int(c): float(rng.random()) for c in range(v % 6)}, {0: float(rng.random())}, seen))
+    listed = lambda x: None if x is None else [{"k": k, "w": w} for k, w in sorted(x.items())]
+    names = ("profile", "categories", "parents")
+    visitors = pa.table({"visitor_id": pa.array(range(40), pa.int64()), **{n: pa.array([listed(p[k]) for p in people], pairs) for k, n in enumerate(names)}, "seen": pa.array([listed(dict.fromkeys(p[3], 0.0)) for p in people], pairs)})
+    classes = pa.table({"item_id": pa.array([m[0] for m in members], pa.int64()), "category_id": pa.array([k[0] for k in kinds], pa.int64()), "parent_category_id": pa.array([k[1] for k in kinds], pa.int64()), "vector": pa.array([listed(k[2]) for k in kinds], pairs), "members": pa.array(members, pa.list_(pa.int64()))})
+    weights = [(1.0, 0.0, 0.0), (0.6, 0.25, 0.15), (0.0, 1.0, 0.0)]
+    counted = []
+    plain = scoring.half_up
+    monkeypatch.setattr(scoring, "half_up", lambda x: counted.append(x.size) or plain(x))
+    dense = np.array([[(vector or {}).get(b, 0.0) for b in range(64)] for _, _, vector in kinds])
+    want = {}
+    for v, (profile, categories, parents, seen) in enumerate(people):
+        cosine = dense @ np.array([profile.get(b, 0.0) for b in range(64)])
+        for g, (a, b, c) in enumerate(weights):
+            scores = plain(a * cosine + b * np.array([categories.get(k[0], 0.0) for k in kinds]) + c * np.array([parents.get(k[1], 0.0) for k in kinds]))
+            want[v, g] = sorted((-scores[k], i) for i, k in of.items() if i not in seen)[:20]
+    for first, cells in ((512, 1_000_000), (16, 3000), (5000, 1_000_000)):
+        monkeypatch.setattr(scoring, "FIRST", first)
+        monkeypatch.setattr(scoring, "CELLS", cells)
+        counted.clear()
+        rows = scoring.score_block(visitors, classes, weights, 20).to_pylist()
+        got = {(r["visitor_id"], g): [(-s, i) for x, i, s in zip(r["grid"], r["item"], r["score"], strict=True) if x == g] for r in rows for g in range(3)}
+        assert got.keys() == want.keys()
+        for key in want:
+            assert [i for _, i in got[key]] == [i for _, i in want[key]], key
+        if first == 16:
+            assert sum(counted) < 0.5 * len(weights) * 40 * 3000
+
+
+def test_lists_of_trials_by_plain_loops():
+    import numpy as np
+    import pyarrow as pa
+    from tallywick.operators import scoring
+
+    rng = np.random.default_rng(3)
+    mixes = [(0.0, 1.0), (0.3, 0.7), (0.5, 0.5), (1.0, 0.0)]
+    rows = []
+    for v in range(60):
+        cf = [int(i) for i in rng.permutation(40)[: rng.integers(0, 12)]] if v % 5 else None
+        blocks = [(g, int(i), float(rng.integers(0, 4))) for g in (0, 1) for i in rng.permutation(40)[: rng.integers(0, 15)]] if v % 7 else None
+        rows.append({"visitor_id": v, "wanted": [int(i) for i in rng.permutation(40)[:5]], "cf": cf, **{n: blocks and [b[k] for b in blocks] for k, n in enumerate(("grid", "item", "score"))}})
+    kinds = {"visitor_id": pa.int64(), **dict.fromkeys(("wanted", "cf", "item"), pa.list_(pa.int64())), "grid": pa.list_(pa.int32()), "score": pa.list_(pa.float64())}
+    got = scoring.trial_lists(pa.Table.from_pylist(rows, pa.schema(kinds.items())), 2, mixes, 20.0, 10, 6).to_pylist()
+    want = []
+    for r in rows:
+        for g in (0, 1):
+            content = sorted((-s, i) for x, i, s in zip(r["grid"] or [], r["item"] or [], r["score"] or [], strict=True) if x == g)[:10]
+            ranks = [{i: n for n, i in enumerate(x, 1)} for x in (r["cf"] or [], [i for _, i in content])]
+            for t, mix in enumerate(mixes):
+                fused = sorted((-round(sum(w / (20 + rank[i]) for w, rank in zip(mix, ranks, strict=True) if i in rank), 9), i) for i in ranks[0].keys() | ranks[1].keys())[:6]
+                short = len(fused) < 6
+                want += [(4 * g + t, r["visitor_id"], i, n, short) for n, (_, i) in enumerate(fused, 1) if short or i in r["wanted"]]
+                want += [] if fused else [(4 * g + t, r["visitor_id"], None, 0, True)]
+    assert sorted(map(repr, (tuple(x.values()) for x in got))) == sorted(map(repr, want))
+
+
+def test_tuning_of_a_small_catalog_agrees_with_sql(spark, tmp_path):
+    """Fewer items than a list is long: all trials are filled up from popularity."""
+    import duckdb
+    from tallywick.plans import catalogue
+
+    con = duckdb.connect()
+    for name, keep in (("events", "CAST(json_extract_string(props, '$.k') AS BIGINT) < 25 AND user_id < 60"), ("part", "p_partkey < 22"), ("nation", "true")):
+        con.sql(f"COPY (FROM '/root/testdata/sf0.01/{name}.parquet' WHERE {keep}) TO '{tmp_path}/{name}.parquet'")
+        con.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    rows = catalogue.queries()["tune_grid"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in rows.collect())
+    want = sorted(con.sql(f"SELECT {', '.join(f'"{c}"' for c in rows.columns)} FROM ({catalogue.oracle_sql()['tune_grid']})").fetchall())
+    assert len(got) == 55 and got == want
+
+
 def test_zero_scores_come_before_negative_ones(spark, content_world):
     items, _, _, _ = content_world
     vectors = spark.createDataFrame([(10, 0, 1.0), (20, 0, -1.0)], "item_id long, bucket int, weight double")
